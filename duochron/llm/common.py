@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 #: The Unicode White_Space property, which the splitting patterns call \s.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,8 +17,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import rans
+
+    return rans.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_byte_bpe,)}
+    return {f.__name__: f for f in (op7_byte_bpe, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:
