@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(mod: int, at: int):
+    """crc32(doc_id as text) mod ``mod`` is ``at``; a null doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == at, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), train=~held_out(5, 0))
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duochron.llm import bytebpe
 
@@ -30,7 +44,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_byte_bpe, op9_best_fit, op10_rans)}
+    return {f.__name__: f for f in (op3_toxicity, op7_byte_bpe, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:
