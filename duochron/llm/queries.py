@@ -25,6 +25,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import htmltext
+
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duochron.llm import bytebpe
 
@@ -44,7 +50,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op7_byte_bpe, op9_best_fit, op10_rans)}
+    return {f.__name__: f for f in (op3_toxicity, op6_main_text, op7_byte_bpe, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:
