@@ -7,21 +7,57 @@ those of the text; most parts repeat, and the library sees each one once per wor
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
 
 from duochron.llm.common import WHITE_SPACE
 
-#: Words kept per worker (about 150 MB), and the longest that is kept.
-KEEP, KEEP_CHARS = 500_000, 48
+#: Words kept per worker (about 250 MB), and the longest that is kept.
+KEEP, KEEP_CHARS = 1_000_000, 48
+
+#: A word that ends with one of these after a letter is its stem and that mark: no vocabulary here joins them.
+MARKS = frozenset(".,;:!?")
+
+#: Letters below this have no other normal form.
+LATIN = "\u0250"
+#: Byte-level vocabularies show the bytes that are no visible Latin-1 character as those from 256 on.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+_W = f"[{WHITE_SPACE}]"
+_CHUNKS = re.compile(f"{_W}*[^{WHITE_SPACE}]+|{_W}+").findall
+_WORDS = re.compile(f"[^{WHITE_SPACE}]+").findall
+#: str.split() also splits at these, which aren't white space to the libraries.
+_CONTROL = re.compile("[\x1c-\x1f]").search
+#: White space at an end, in a row, or other than space and line end; or nothing at all.
+_ODD = re.compile(f"{_W}{_W}|\\A{_W}|{_W}?\\Z(?<={_W})|\\A\\Z|[{''.join(c for c in WHITE_SPACE if c not in ' ' + chr(10))}]").search
 
 _loaded: dict[tuple[str, bool], "WordCache"] = {}
 
 
+class _Seen(dict):
+    """Word -> the bytes of its ids after ``lead``; what is missing is looked up, and kept while there is room."""
+
+    def __init__(self, cache: "WordCache", lead: str = ""):
+        super().__init__()
+        self.cache, self.lead = cache, lead
+
+    def __missing__(self, word: str) -> bytes:
+        stem, mark = self.cache.parts(word)
+        if stem != word:
+            ids = self[stem] + self.cache.marks[mark] if mark else self[stem]
+        else:
+            ids = self.cache.ask_word(self.lead, word)
+        if len(self) < KEEP and len(word) <= KEEP_CHARS:
+            self[word] = ids
+        return ids
+
+
 class WordCache:
-    """spaces: whether white space itself has ids (byte-level vocabularies) or is dropped."""
+    """spaces: whether white space itself has ids (byte-level vocabularies) or is dropped, with letters lower-cased."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,10 +65,14 @@ class WordCache:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.cut = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+" if spaces else f"[^{WHITE_SPACE}]+").findall
-        self.seen: dict[str, bytes] = {}
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.spaces = spaces
+        self.marks = {m: self.ask(m) for m in MARKS}
+        self.bare, self.spaced = _Seen(self), _Seen(self, " ")
+        self.line = self.ask("\n") if spaces else b""
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> "WordCache":
@@ -40,21 +80,48 @@ class WordCache:
             _loaded[path, spaces] = cls(path, spaces)
         return _loaded[path, spaces]
 
+    def ask(self, text: str) -> bytes:
+        return array(self.code, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def ask_word(self, lead: str, word: str) -> bytes:
+        """A word of Latin letters is one match of the splitting patterns, which goes to the library's model as it is."""
+        if word.isalpha() and (word.isascii() or max(word) < LATIN) and (self.spaces or word == word.lower()):
+            said = (lead + word).encode().decode("latin-1").translate(_SHOWN)
+            return array(self.code, [t.id for t in self.model.tokenize(said)]).tobytes()
+        return self.ask(lead + word)
+
+    def parts(self, word: str) -> tuple[str, str]:
+        """A stem and an end mark whose ids, put together, are the word's."""
+        mark = ""
+        if len(word) > 1 and word[-1] in MARKS and word[-2].isalpha():
+            word, mark = word[:-1], word[-1]
+        return (word if self.spaces or not word.isascii() else word.lower()), mark
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``dtype``."""
-        words = [self.cut(t) for t in texts]
-        seen = self.seen
-        new = list(set().union(*words).difference(seen)) if words else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[word] = np.array(found.ids, self.dtype).tobytes()
-        out = [b"".join(map(seen.__getitem__, w)) for w in words]
-        if len(seen) > KEEP:
-            for word in new:
-                del seen[word]
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and passes over the memory of words cost more than the lookups
+        try:
+            return [self._plain(t) if self.spaces and not _ODD(t) else self._any(t) for t in texts]
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _any(self, text: str) -> bytes:
+        if self.spaces:
+            words = _CHUNKS(text)
         else:
-            for word in new:
-                if len(word) > KEEP_CHARS:
-                    del seen[word]
-        return out
+            words = _WORDS(text) if _CONTROL(text) else text.split()
+        return b"".join(map(self.bare.__getitem__, words))
+
+    def _plain(self, text: str) -> bytes:
+        """A text whose white space is single spaces and line ends between other characters."""
+        bare, spaced = self.bare, self.spaced.__getitem__
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(bare[first])
+            out += map(spaced, rest)
+            out.append(self.line)
+        out.pop()
+        return b"".join(out)
