@@ -37,6 +37,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import oddsketch
+
+    return oddsketch.near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duochron.llm import packing
 
@@ -50,7 +56,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_main_text, op7_byte_bpe, op9_best_fit, op10_rans)}
+    return {f.__name__: f for f in (op3_toxicity, op6_main_text, op7_byte_bpe, op8_odd_sketch, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:
