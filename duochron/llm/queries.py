@@ -25,6 +25,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import covertree
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op5_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import vectors
+
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duochron.llm import htmltext
 
@@ -56,7 +69,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_main_text, op7_byte_bpe, op8_odd_sketch, op9_best_fit, op10_rans)}
+    return {f.__name__: f for f in (op3_toxicity, op4_cover_tree, op5_collisions, op6_main_text, op7_byte_bpe, op8_odd_sketch, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:
