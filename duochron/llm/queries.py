@@ -17,6 +17,12 @@ def held_out(mod: int, at: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == at, F.lit(False))
 
 
+def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duochron.llm import repeats
+
+    return repeats.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duochron.llm import lm
 
@@ -77,7 +83,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_log_bilinear, op3_toxicity, op4_cover_tree, op5_collisions, op6_main_text, op7_byte_bpe, op8_odd_sketch, op9_best_fit, op10_rans)}
+    return {f.__name__: f for f in (op1_run_index, op2_log_bilinear, op3_toxicity, op4_cover_tree, op5_collisions, op6_main_text, op7_byte_bpe, op8_odd_sketch, op9_best_fit, op10_rans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,52 +39,66 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi vous votre du
 
 _LOOKALIKE = str.maketrans("013457@$!|", "oleastasil")
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"(?:[^\W\d_]+[0-9@$!|*._-]+|[0-9@$!|]+)[\w@$!|*.-]*[^\W_]|\b(?:[^\W\d_][ .*_-]){2,}[^\W\d_]\b")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\W_])")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _LETTERS = re.compile(r"[\W\d_]+")
+_SHOUT = re.compile("[A-Z\u00c0-\u00de]{3}")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_CAPITALS = bytes(range(65, 91))
+_ENDS = ".,;:!?|()\"'"
 NEAR = 5
 
 
-def features(text: str, learnt: frozenset[str]) -> list[float]:
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
+def features(text: str, learnt: frozenset[str], lengths: tuple[int, ...] = ()) -> list[float]:
+    """lengths: those of the learnt stems."""
+    small = text.lower()
+    low = _WORD.findall(small)
     n = max(1, len(low))
     known = set(low)
-    lengths = {len(s) for s in learnt}
-    fixed_here, learnt_here = known & LEXICON, {w for w in known if any(w[:k] in learnt for k in lengths)}
+    fixed_here, learnt_here = known & LEXICON, set()
+    for k in lengths:
+        if not learnt.isdisjoint({w[:k] for w in known}):
+            learnt_here.update(w for w in known if w[:k] in learnt)
     at = [i for i, w in enumerate(low) if w in fixed_here or w in learnt_here] if fixed_here or learnt_here else []
     fixed = sum(low[i] in fixed_here for i in at)
     taught = sum(low[i] in learnt_here for i in at)
     both = LEXICON | learnt
-    masked, hidden = 0, 0
-    for m in _MASKED.finditer(text):
-        masked += 1
-        plain = _LETTERS.sub("", m[0].lower().translate(_LOOKALIKE))
-        hidden += plain in both or _STRETCH.sub(r"\1", plain) in both
-    stretched = [w for w in low if len(w) > 4 and _STRETCH.search(w)]
+    masks = [w for w in small.split() if not w.isalpha() and not w.strip(_ENDS).isalpha() and any(map(str.isalpha, w))]
+    singles = [i for i, w in enumerate(low) if len(w) == 1]
+    if any(a + 2 == b for a, b in zip(singles, singles[2:], strict=False)):
+        masks += _SPACED.findall(small)
+    plain = [_LETTERS.sub("", w.strip(_ENDS).translate(_LOOKALIKE)) for w in masks]
+    hidden = sum(w in both or _STRETCH.sub(r"\1", w) in both for w in plain)
+    stretched = [w for w in low if len(w) > 4 and _STRETCH.search(w)] if any(t in small for t in _TRIPLES) else []
     hidden += sum(_STRETCH.sub(r"\1", w) in both or _STRETCH.sub(r"\1\1", w) in both for w in stretched if w not in both)
     near = sum(any(low[j] in SECOND_PERSON for j in range(max(0, i - NEAR), min(len(low), i + NEAR + 1))) for i in at)
     chars = max(1, len(text))
-    shouted = sum(len(w) > 2 and w.isupper() for w in words)
+    data = text.encode()
+    shouted = sum(len(w) > 2 and w.isupper() for w in _WORD.findall(text)) if _SHOUT.search(text) else 0
+    you = known & SECOND_PERSON
     return [
         float(fixed), fixed / n, float(taught), taught / n, float(len(fixed_here | learnt_here)), float(hidden), hidden / n,
-        near / n, float(near), sum(w in SECOND_PERSON for w in low) / n if known & SECOND_PERSON else 0.0,
-        shouted / n, sum(map(str.isupper, text)) / chars, text.count("!") / chars, text.count("?") / chars,
-        sum(map(text.count, ".,;:")) / chars, sum(map(text.count, "*#$%@&")) / chars, masked / n, len(stretched) / n, float(np.log1p(len(low))),
+        near / n, float(near), sum(map(low.count, you)) / n, shouted / n, (len(data) - len(data.translate(None, _CAPITALS))) / chars, text.count("!") / chars, text.count("?") / chars,
+        sum(map(text.count, ".,;:")) / chars, sum(map(text.count, "*#$%@&")) / chars, len(masks) / n, len(stretched) / n, float(np.log1p(len(low))),
     ]
 
 
 WIDTH = len(features("", frozenset()))
 
 
+def stem_lengths(learnt: frozenset[str]) -> tuple[int, ...]:
+    return tuple(sorted({len(s) for s in learnt}))
+
+
 class Model:
     def __init__(self, learnt: frozenset[str], trees: Trees | None, steps: Isotonic | None):
         self.learnt, self.trees, self.steps = learnt, trees, steps
+        self.lengths = stem_lengths(learnt)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.zeros(len(texts))
-        return np.clip(self.steps(self.trees.raw(np.array([features(t, self.learnt) for t in texts]).reshape(-1, WIDTH))), 0, 1)
+        return np.clip(self.steps(self.trees.raw(np.array([features(t, self.learnt, self.lengths) for t in texts]).reshape(-1, WIDTH))), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, sample: int = SAMPLE) -> Model:
@@ -112,12 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, sa
         return Model(frozenset(), None, None)
     found = arrow_map(fitting.select("text", "y"), words, "word string, y int").groupBy("word").agg(F.sum("y").alias("in1"), F.sum(1 - F.col("y")).alias("in0"))
     found = found.where((F.col("in1") >= max(3, SHARE * n1)) & (F.col("in1") / n1 >= LIFT * (F.col("in0") + 1) / n0)).orderBy(F.desc("in1"), "word").limit(LEARNT)
-    learnt = frozenset(r[0] for r in found.collect())
+    stems = {r[0] for r in found.collect()}
+    learnt = frozenset(s for s in stems if not any(s[:k] in stems for k in range(STEMS[0], len(s))))  # a shorter stem says it all
+    lengths = stem_lengths(learnt)
 
     def dense():
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                yield {"x": [features(t, learnt) for t in b["text"].to_pylist()], "y": b["y"], "held": b["held"]}
+                yield {"x": [features(t, learnt, lengths) for t in b["text"].to_pylist()], "y": b["y"], "held": b["held"]}
 
         return run
 
