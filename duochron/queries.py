@@ -286,15 +286,13 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@query("""with recursive b as (select event_id as batch_id, event_id as arrival, unnest([event_id // 3, event_id // 3 + (event_id % 2) * 2]) as w from events where event_id < 100000000),
- ids as (select distinct batch_id, arrival, cast(w as varchar) as w from b),
- r as (select batch_id, list(w order by w) as ws, row_number() over (order by batch_id) as k from ids group by batch_id),
- step as (select cast(0 as bigint) as k, cast([] as varchar[]) as recent, cast(null as bigint) as accepted
-   union all select r.k, case when list_has_any(s.recent, r.ws) then s.recent else list_concat(s.recent, r.ws)[-16:] end, case when list_has_any(s.recent, r.ws) then null else r.batch_id end from step s join r on r.k = s.k + 1)
+@query("""with recursive r as (select event_id as batch_id, event_id // 12 as block, event_id % 12 as k, list_distinct([event_id // 12 * 100 + event_id * 7 % 13, event_id // 12 * 100 + event_id * 5 % 13]) as ws from events),
+ step as (select distinct block, cast(-1 as bigint) as k, cast([] as bigint[]) as taken, cast(null as bigint) as accepted from r
+   union all select s.block, r.k, case when list_has_any(s.taken, r.ws) then s.taken else list_concat(s.taken, r.ws) end, case when list_has_any(s.taken, r.ws) then null else r.batch_id end from step s join r on r.block = s.block and r.k = s.k + 1)
 select accepted as batch_id from step where accepted is not null""")
 def dedupe_batch(spark, sf):
-    i = F.col("event_id")
-    batches = _t(spark, sf, "events").select(i.alias("batch_id"), i.alias("arrival"), F.explode(F.array_distinct(F.array(F.floor(i / 3), F.floor(i / 3) + (i % 2) * 2)).cast("array<string>")).alias("write_id"))
+    i, block = F.col("event_id"), F.floor(F.col("event_id") / 12) * 100
+    batches = _t(spark, sf, "events").select(i.alias("batch_id"), i.alias("arrival"), F.explode(F.array_distinct(F.array(block + i * 7 % 13, block + i * 5 % 13)).cast("array<string>")).alias("write_id"))
     return ingest.admitted(batches, spark.createDataFrame([], "write_id string"), _written)
 
 
@@ -371,7 +369,7 @@ def group_members(spark, sf):
     return r.member_table(spark).select("group_id", "feature_id")
 
 
-@query("select vec_id, len(embedding) as width, round(list_sum(list_transform(embedding, x -> cast(x as double))), 4) as total from embeddings")
+@query("select vec_id, len(embedding) as width, round(list_sum(cast(embedding as double[])), 4) as total from embeddings")
 def vector_latest(spark, sf):
     e = _t(spark, sf, "embeddings")
     rows = e.select(F.lit("prod").alias("tenant_id"), F.lit("vector").alias("entity_type"), F.col("vec_id").cast("string").alias("entity_id"), F.lit("f_vec").alias("feature_id"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("event_time_us"), F.col("vec_id").alias("sequence_no"), F.lit(UPSERT).alias("operation"), F.col("embedding").alias("value")).withColumn("system_time_us", F.col("event_time_us"))
