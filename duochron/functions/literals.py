@@ -55,7 +55,7 @@ def tags_to_text(tags: Column) -> Column:
 
 
 def tags_from_text(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def content_write_id(*columns: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duochron.schema import DELETE, ENTITY, KEY, live, payload, version
+from duochron.schema import ENTITY, KEY, live, version
 
 
 def visible(event_time_us, system_time_us) -> Column:
@@ -36,14 +36,20 @@ def as_found(selected: DataFrame) -> DataFrame:
     return selected.withColumn("found", seen).withColumn("value", F.when(seen, F.col("value")))
 
 
-def latest(events: DataFrame) -> DataFrame:
-    """The newest event of every timeline by event time, whenever it became known."""
+def latest(events: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The newest event of every timeline by event time, whenever it became known.
+
+    ``columns`` are what is wanted besides the key, the clocks and the operation. The selection carries
+    whole rows, which Catalyst can't prune afterwards, so naming them keeps the rest unread.
+    """
+    if columns is not None:
+        events = events.select(*dict.fromkeys([*KEY, "event_time_us", "system_time_us", "sequence_no", "operation", "value", *columns]))
     return as_found(winners(events))
 
 
-def as_of(events: DataFrame, event_time_us: int, system_time_us: int) -> DataFrame:
+def as_of(events: DataFrame, event_time_us: int, system_time_us: int, columns: list[str] | None = None) -> DataFrame:
     """What was known at system_time about event_time."""
-    return latest(events.where(visible(event_time_us, system_time_us)))
+    return latest(events.where(visible(event_time_us, system_time_us)), columns)
 
 
 def requested(spark: SparkSession, answers: DataFrame, entity: dict[str, str], features: list[str]) -> DataFrame:

@@ -13,12 +13,19 @@ UPSERT, DELETE = "UPSERT", "DELETE"
 #: The value types of the registry, and the field of the value struct that holds each.
 VALUE_FIELDS = {"bool": "bool_value", "int64": "int64_value", "double": "double_value", "string": "string_value", "float_vector": "float_vector", "double_vector": "double_vector"}
 
-VALUE = T.StructType.fromDDL("value_type string, bool_value boolean, int64_value bigint, double_value double, string_value string, float_vector array<float>, double_vector array<double>")
-QUALITY = T.StructType.fromDDL("is_corrected boolean, is_inferred boolean, is_stale boolean, source_validation_failed boolean, tags array<string>")
+_S, _L, _I, _B, _D, _F = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.DoubleType(), T.FloatType()
 
-EVENT_INPUT = T.StructType.fromDDL(f"batch_id string, arrival bigint, position int, tenant_id string, entity_type string, entity_id string, feature_id string, event_time_us bigint, system_time_us bigint, operation string, value {VALUE.simpleString()}, write_id string, source_id string")
-FEATURE_EVENT = T.StructType.fromDDL(f"tenant_id string, entity_type string, entity_id string, feature_id string, event_time_us bigint, system_time_us bigint, sequence_no bigint, lsn bigint, operation string, value {VALUE.simpleString()}, write_id string, source_id string, quality_flags {QUALITY.simpleString()}")
-DRIVING = T.StructType.fromDDL("row_id string, tenant_id string, entity_type string, entity_id string, label_time_us bigint, system_cutoff_us bigint")
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+VALUE = _struct(value_type=_S, bool_value=_B, int64_value=_L, double_value=_D, string_value=_S, float_vector=T.ArrayType(_F), double_vector=T.ArrayType(_D))
+QUALITY = _struct(is_corrected=_B, is_inferred=_B, is_stale=_B, source_validation_failed=_B, tags=T.ArrayType(_S))
+
+EVENT_INPUT = _struct(batch_id=_S, arrival=_L, position=_I, tenant_id=_S, entity_type=_S, entity_id=_S, feature_id=_S, event_time_us=_L, system_time_us=_L, operation=_S, value=VALUE, write_id=_S, source_id=_S)
+FEATURE_EVENT = _struct(tenant_id=_S, entity_type=_S, entity_id=_S, feature_id=_S, event_time_us=_L, system_time_us=_L, sequence_no=_L, lsn=_L, operation=_S, value=VALUE, write_id=_S, source_id=_S, quality_flags=QUALITY)
+DRIVING = _struct(row_id=_S, tenant_id=_S, entity_type=_S, entity_id=_S, label_time_us=_L, system_cutoff_us=_L)
 
 
 def version() -> Column:
