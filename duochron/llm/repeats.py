@@ -309,10 +309,14 @@ def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+_SPANS = "__duochron_spans"
+
+
 def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    marked = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), F.col("spans").alias("_spans"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return hashed.join(marked, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left").drop("_hash", "_id", "_h")
+    """Adds the spans of each row's text; the columns of ``docs`` may have any names but those that start with __duochron_."""
+    marked = found.select(F.col("doc_id").alias("__duochron_id"), F.col("hash").alias("__duochron_h"), F.col("spans").alias(_SPANS))
+    hashed = docs.withColumn("__duochron_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return hashed.join(marked, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__duochron_id")) & (F.col("__duochron_hash") == F.col("__duochron_h")), "left").drop("__duochron_hash", "__duochron_id", "__duochron_h")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -322,7 +326,7 @@ def digests(docs: DataFrame) -> DataFrame:
         def run(batches) -> Iterator[dict]:
             for b in batches:
                 rows = []
-                for t, found in zip(b["text"], b["_spans"].to_pylist(), strict=True):
+                for t, found in zip(b["text"], b[_SPANS].to_pylist(), strict=True):
                     data = t.as_py().encode()
                     gone = merged(found)
                     rows.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
@@ -340,7 +344,7 @@ def cut(docs: DataFrame) -> DataFrame:
     def make():
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                said = [t if not found else without(t.encode(), merged(found)).decode(errors="ignore") for t, found in zip(b["text"].to_pylist(), b.pop("_spans").to_pylist(), strict=True)]
+                said = [t if not found else without(t.encode(), merged(found)).decode(errors="ignore") for t, found in zip(b["text"].to_pylist(), b.pop(_SPANS).to_pylist(), strict=True)]
                 yield b | {"text": said}
 
         return run

@@ -90,7 +90,7 @@ def _visits(classes: DataFrame, threshold: float) -> DataFrame:
 
         return run
 
-    return arrow_map(classes, make, "cell bigint, home boolean, uid bigint, n bigint, vector array<float>", 2048)
+    return arrow_map(classes, make, f"cell bigint, home boolean, uid bigint, n bigint, vector {dict(classes.dtypes)['vector']}", 2048)
 
 
 def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
@@ -149,7 +149,8 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.withColumn("uid", F.when(usable("vector"), F.xxhash64("vector")))
     classes = stage(rows.where("uid is not null").groupBy("uid").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "classes")
     visits = stage(_visits(classes.select("uid", "n", "vector"), threshold), "visits")
