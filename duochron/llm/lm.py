@@ -7,8 +7,8 @@ part of the input from the same start; the parameters are averaged, weighted by
 all contexts come from batched matrix products, so token probabilities sum to one; a token outside the
 head has the probability of the symbol times its smoothed share of all tokens outside the head.
 
-Counts are exact and cover the whole corpus. The HOT most frequent tokens (at most HOT_BYTES bytes
-long, so that table is bounded) travel to the tasks; the counts of all others are joined by token.
+Counts are exact and cover the whole corpus. The most frequent tokens (up to HOT of them, at most HOT_BYTES
+bytes long, so that table is bounded) travel to the tasks; the counts of all others are joined by token.
 
 Defined results: a null or empty text is its end token; a null doc_id is never held out; equal rows get
 equal scores; only doc_id and text are read; an empty table gives an empty result.
@@ -236,7 +236,15 @@ def fit(docs: DataFrame, train: Column) -> tuple[Model, DataFrame]:
     release(docs.sparkSession)
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = counts.where(F.length("token") == 0).select("n").first()
-    found = counts.where((F.length("token") > 0) & (F.length("token") <= HOT_BYTES)).orderBy(F.desc("n"), "token").limit(HOT).collect()  # bounded by HOT and HOT_BYTES
+    short = counts.where((F.length("token") > 0) & (F.length("token") <= HOT_BYTES)).withColumn("step", F.floor(F.log2("n") * 16))
+    # how many tokens are how frequent (about a thousand steps), and from which step on they fit
+    room, least = HOT, 1 << 30
+    for step, k in sorted(short.groupBy("step").agg(F.count(F.lit(1))).collect(), reverse=True):
+        room -= k
+        if room < 0:
+            break
+        least = step
+    found = sorted(short.where(F.col("step") >= least).select("token", "n").collect(), key=lambda r: (-r[1], bytes(r[0])))  # bounded by HOT and HOT_BYTES
     model = Model([END, *(bytes(r[0]) for r in found)], [ends[0] if ends else 0, *(r[1] for r in found)], total or 0, distinct or 0)
     if ends is None:
         model.rest_distinct = 0
