@@ -5,8 +5,8 @@ one of the stems learnt from the training labels (plainly written, or behind loo
 punctuation), second-person words near a lexicon word, capitals, punctuation, and obfuscated spellings.
 The labels, language, source and doc_id are not among them.
 
-Training reads at most SAMPLE labelled documents (those with the smallest hash of doc_id), of which a
-quarter calibrates; every document is scored on its whole text.
+Training reads about SAMPLE labelled documents (those with the smallest hashes of doc_id; all, if there
+are fewer), of which a quarter calibrates; every document is scored on its whole text.
 
 Defined results: null and empty texts are scored as a text without words; a doc_id that is null or has
 no label isn't trained on; a document with several labels counts as toxic if any of them is 1; equal
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from duochron.llm.boosting import Isotonic, Trees
 from duochron.llm.common import arrow_map, stage, texts, unstage
 
-#: The bound on labelled documents that training reads.
+#: The expected number of labelled documents that training reads, whatever the corpus.
 SAMPLE = 12_000
 #: A learnt stem (the first STEMS characters of words, or less) is in at least this share of toxic training
 #: documents, and this many times likelier there.
@@ -106,8 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, sa
     named = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if train is not None:
         named = named.where(train)
-    few = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = stage(texts(docs).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # at most `sample` ids
+    every = named.groupBy("doc_id").agg(F.max("y").alias("y"))
+    share = min(1.0, sample / max(1, every.count()))  # by hash, so nothing is sorted or gathered
+    few = every.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = stage(texts(docs).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # about `sample` ids
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
 
     def words():
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, sa
 
         return run
 
-    rows = arrow_map(chosen.select("text", "y", fold.alias("held")), dense, "x array<double>, y int, held boolean").collect()  # at most `sample` rows
+    rows = arrow_map(chosen.select("text", "y", fold.alias("held")), dense, "x array<double>, y int, held boolean").collect()  # about `sample` rows
     x, y, held = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], bool)
     unstage(chosen)
     trees = Trees().fit(x[~held], y[~held])
