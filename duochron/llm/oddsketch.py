@@ -1,10 +1,10 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
-A document's set is its distinct SHINGLE-word shingles (with fewer words, the whole sequence as one).
-MinHash values are cut into BANDS bands; documents that share a band meet. The MinHash samples are also
-folded into a parity bitmap (an odd sketch): the population count of two bitmaps' XOR estimates how many
-samples differ, most precisely at high similarity, and drops pairs that can't reach the threshold before
-any text is compared. Links are confirmed on the full sets.
+A document's set is its distinct shingles of some words (with fewer words, the whole sequence as one).
+MinHash values are cut into BANDS bands; documents that share a band meet. Of those that meet another,
+SAMPLES MinHash samples are folded into a parity bitmap (an odd sketch): the population count of two
+bitmaps' XOR estimates how many samples differ, most precisely at high similarity, and drops pairs that
+can't reach the threshold before any text is compared. Links are confirmed on the full sets.
 
 Equal sets are one node from the start. Documents that share a band are first compared with a few pivots
 of it (so a group of n makes about n pairs, not n * n); after that, only documents of the same band that
@@ -19,8 +19,6 @@ text are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +29,17 @@ from pyspark.sql import functions as F
 from duochron.llm.common import arrow_map, partitions, release, stage, texts, unstage
 from duochron.llm.components import components
 
-BANDS, ROWS, BITS = 32, 5, 512
+BANDS, ROWS = 32, 5
+SAMPLES, BITS = 1024, 4096
 #: Pivots of a band's group are the least of so many orders of its members.
 ORDERS = 4
-#: Samples may differ by so much before a pair is dropped: 5 standard deviations above a similarity of 0.8.
-FLOOR = 0.55
+#: An estimate at a similarity of 0.8 has a standard deviation of 0.017; pairs below five of them are dropped.
+MARGIN = 0.085
 #: Members that one task compares with a pivot.
 PER_PIVOT = 256
 
-_MULT = np.random.default_rng(20_001).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_MULT = np.random.default_rng(20_001).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD_MULT = np.random.default_rng(20_002).integers(0, 2**63, (2, SAMPLES), np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,56 +72,71 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch (BITS bits in 64-bit words) of a set."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(s), 2048):
-        least = np.minimum(least, (s[i : i + 2048, None] * _MULT[0] + _MULT[1]).min(0))
+def _minhash(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    least = np.full(mult.shape[1], 2**64 - 1, np.uint64)
+    step = max(1, (1 << 18) // mult.shape[1])
+    for i in range(0, len(s), step):
+        least = np.minimum(least, (s[i : i + step, None] * mult[0] + mult[1]).min(0))
+    return least
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
+    for part in _minhash(s, _BAND_MULT).reshape(BANDS, ROWS).T:
         key = _mix(key * _A + part)
-    place = _mix(least + np.arange(BANDS * ROWS, dtype=np.uint64) * _B) >> np.uint64(64 - BITS.bit_length() + 1)
-    return key.view(np.int64), np.packbits(np.bincount(place.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+    return key.view(np.int64)
+
+
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """BITS parities of the samples' places, in 64-bit words."""
+    place = _mix(_minhash(s, _ODD_MULT) + np.arange(SAMPLES, dtype=np.uint64) * _B) >> np.uint64(64 - BITS.bit_length() + 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
-def most_bits() -> int:
-    """The population count that an XOR is expected to have at a similarity of FLOOR."""
-    return int(BITS * (1 - np.exp(-2 * 2 * BANDS * ROWS * (1 - FLOOR) / BITS)) / 2)
+def most_bits(percent: int) -> int:
+    """The population count that an XOR is expected to have at the lowest similarity that isn't dropped."""
+    return int(BITS * (1 - np.exp(-2 * 2 * SAMPLES * (1 - percent / 100 + MARGIN) / BITS)) / 2)
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, hash, n_shingles, node, bands, odd``; node names the set, null if it is empty."""
+    """``doc_id, hash, n_shingles, node, bands``; node names the set, null if it is empty."""
 
     def make():
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                n, node, bands, odd = [], [], [], []
+                n, node, bands = [], [], []
                 for t in b["text"]:
                     s = shingles(t.as_py(), size)
                     n.append(len(s))
-                    if len(s):
-                        key, sketch = signature(s)
-                        node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
-                        bands.append(key)
-                        odd.append(sketch)
-                    else:
-                        node.append(None)
-                        bands.append(None)
-                        odd.append(None)
-                yield {"doc_id": b["doc_id"], "hash": b["hash"], "n_shingles": n, "node": node, "bands": bands, "odd": odd}
+                    node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                    bands.append(band_keys(s) if len(s) else None)
+                yield {"doc_id": b["doc_id"], "hash": b["hash"], "n_shingles": n, "node": node, "bands": bands}
+
+        return run
+
+    return arrow_map(texts(docs).withColumn("hash", F.xxhash64("text")), make, "doc_id bigint, hash bigint, n_shingles bigint, node bigint, bands array<bigint>")
+
+
+def _sketches(known: DataFrame, size: int) -> DataFrame:
+    """``node, n_shingles, odd`` of the documents that met another."""
+
+    def make():
+        def run(batches) -> Iterator[dict]:
+            for b in batches:
+                found = [shingles(t.as_py(), size) for t in b["text"]]
+                yield {"node": b["node"], "n_shingles": [len(s) for s in found], "odd": [odd_sketch(s) for s in found]}
 
         return run
 
-    return arrow_map(texts(docs).withColumn("hash", F.xxhash64("text")), make, "doc_id bigint, hash bigint, n_shingles bigint, node bigint, bands array<bigint>, odd array<bigint>")
+    return arrow_map(known, make, "node bigint, n_shingles bigint, odd array<bigint>")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes and odd sketches allow the threshold."""
-    side = nodes.select("node", "n_shingles", "odd")
-    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa")), "a")
-    pairs = pairs.join(side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob")), "b")
-    differ = functools.reduce(operator.add, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(BITS // 64)])
-    return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= most_bits())).select("a", "b")
+    pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa")), "a")
+    pairs = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob")), "b")
+    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differ <= most_bits(percent))).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
@@ -153,25 +168,31 @@ def _confirmed(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> D
     return arrow_map(rows.select("a", "kind", "b", "text"), make, "a bigint, b bigint").distinct()
 
 
-def _across(met: DataFrame) -> DataFrame:
-    """Pairs of a band's members that are in different components; ``met``: key, node, root, odd, of keys with several roots."""
-    limit = most_bits()
+def _across(met: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of a band's members that are in different components, each from the first band that they share.
+
+    ``met``: key, band, node, root, n_shingles, odd, bands, of keys with several roots.
+    """
+    limit = most_bits(percent)
 
     def make():
         def emit(group: list[tuple]) -> Iterator[dict]:
-            node = np.array([g[1] for g in group], np.int64)
-            root = np.array([g[2] for g in group], np.int64)
-            odd = np.array([g[3] for g in group], np.int64).view(np.uint64)
+            band = group[0][1]
+            node, root, size = (np.array([g[i] for g in group], np.int64) for i in (2, 3, 4))
+            odd = np.array([g[5] for g in group], np.int64).view(np.uint64)
+            bands = np.array([g[6][:band] for g in group], np.int64).reshape(len(group), band)
             for i in range(len(node) - 1):
-                near = np.bitwise_count(odd[i + 1 :] ^ odd[i]).sum(1, dtype=np.int64) <= limit
-                j = i + 1 + np.flatnonzero(near & (root[i + 1 :] != root[i]))
+                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])))
+                j = j[~(bands[j] == bands[i]).any(1)]
+                j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(1, dtype=np.int64) <= limit]
                 if len(j):
                     yield {"a": np.minimum(node[j], node[i]), "b": np.maximum(node[j], node[i])}
 
         def run(batches) -> Iterator[dict]:
             group: list[tuple] = []
+            names = ("key", "band", "node", "root", "n_shingles", "odd", "bands")
             for b in batches:
-                for row in zip(b["key"].to_pylist(), b["node"].to_pylist(), b["root"].to_pylist(), b["odd"].to_pylist(), strict=True):
+                for row in zip(*(b[n].to_pylist() for n in names), strict=True):
                     if group and group[0][0] != row[0]:
                         yield from emit(group)
                         group = []
@@ -181,7 +202,7 @@ def _across(met: DataFrame) -> DataFrame:
 
         return run
 
-    rows = met.select("key", "node", "root", "odd").repartition(partitions(met.sparkSession), "key").sortWithinPartitions("key", "node")
+    rows = met.select("key", "band", "node", "root", "n_shingles", "odd", "bands").repartition(partitions(met.sparkSession), "key").sortWithinPartitions("key", "node")
     return arrow_map(rows, make, "a bigint, b bigint").distinct()
 
 
@@ -189,38 +210,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """``doc_id, hash, n_shingles, component_id, kept`` of every row; hash is xxhash64 of the text."""
     spark = docs.sparkSession
     rows = stage(sets(docs, size), "sets")
-    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "nodes")
+    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.first("bands").alias("bands")), "nodes")
     slots = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     groups = slots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(o))).alias(f"p{o}") for o in range(ORDERS))).where("n > 1")
-    met = stage(slots.join(groups, "key").select("key", "node", F.element_at(F.array(*(f"p{o}" for o in range(ORDERS))), F.col("band") % ORDERS + 1).alias("pivot")), "met")
+    met = stage(slots.join(groups, "key").select("key", "band", "node", F.element_at(F.array(*(f"p{o}" for o in range(ORDERS))), F.col("band") % ORDERS + 1).alias("pivot")), "met")
 
     # texts of the documents that met another one
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"))
     source = texts(docs).withColumn("hash", F.xxhash64("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     known = stage(source.join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), ["doc_id", "hash"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    sketches = stage(_sketches(known, size), "sketches")
     release(spark)
 
     pairs = met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stage(_likely(pairs, nodes, percent), "pairs")
+    tried = stage(_likely(pairs, sketches, percent), "pairs")
     links = stage(_confirmed(tried, known, size, percent), "confirmed")
     roots = components(links)
-    placed = met.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = met.select("key", "band", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _across(placed.join(split, "key", "left_semi").join(nodes.select("node", "odd"), "node")).join(ordered, ["a", "b"], "left_anti")
-    more = stage(_likely(more, nodes, percent), "more")
+    apart = placed.join(split, "key", "left_semi").join(sketches, "node").join(nodes.select("node", "bands"), "node")
+    more = stage(_across(apart, percent).join(ordered, ["a", "b"], "left_anti"), "more")
     late = stage(_confirmed(more, known, size, percent), "late")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
     firsts = nodes.select("node", F.col("first.doc_id").alias("least")).join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = firsts.join(firsts.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     out = stage(rows.select("doc_id", "hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "near")
-    unstage(rows, nodes, met, known, tried, links, more, late)
+    unstage(rows, nodes, met, known, sketches, tried, links, more, late)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all their columns, that are the first of their group; of equal rows, one."""
     marks = near_duplicates(docs, size, percent).where("kept").select("doc_id", "hash").distinct()
-    key = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_hash"])
-    return key.join(marks.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi").drop("_hash")
+    key = docs.withColumn("__duochron_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "__duochron_hash"])
+    marked = marks.select(F.col("doc_id").alias("__duochron_id"), F.col("hash").alias("__duochron_h"))
+    return key.join(marked, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__duochron_id")) & (F.col("__duochron_hash") == F.col("__duochron_h")), "left_semi").drop("__duochron_hash")
