@@ -34,7 +34,7 @@ from duochron.llm.common import arrow_map, partitions, release, shared_dir, stag
 from duochron.llm.wordcache import WordCache
 
 SCALE = 20
-LANES, BLOCK, CHECK = 512, 1 << 17, 128
+LANES, BLOCK, CHECK = 2048, 1 << 18, 64
 END = 2
 _LOW = 1 << 31
 _HEAD = struct.Struct("<4sIHHIIII")

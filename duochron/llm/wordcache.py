@@ -16,8 +16,8 @@ import numpy as np
 
 from duochron.llm.common import WHITE_SPACE
 
-#: Words kept per worker (about 250 MB), and the longest that is kept.
-KEEP, KEEP_CHARS = 1_000_000, 48
+#: Words kept per worker (about 150 MB), and the longest that is kept.
+KEEP, KEEP_CHARS = 500_000, 48
 
 #: A word that ends with one of these after a letter is its stem and that mark: no vocabulary here joins them.
 MARKS = frozenset(".,;:!?")
@@ -31,9 +31,16 @@ _W = f"[{WHITE_SPACE}]"
 _CHUNKS = re.compile(f"{_W}*[^{WHITE_SPACE}]+|{_W}+").findall
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+").findall
 #: str.split() also splits at these, which aren't white space to the libraries.
-_CONTROL = re.compile("[\x1c-\x1f]").search
-#: White space at an end, in a row, or other than space and line end; or nothing at all.
-_ODD = re.compile(f"{_W}{_W}|\\A{_W}|{_W}?\\Z(?<={_W})|\\A\\Z|[{''.join(c for c in WHITE_SPACE if c not in ' ' + chr(10))}]").search
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: White space in a row, and white space other than space and line end.
+_ROWS = ("  ", "\n\n", " \n", "\n ")
+_OTHERS = "".join(c for c in WHITE_SPACE if c not in " \n")
+
+
+def _odd(text: str) -> bool:
+    """Whether white space is at an end, in a row, or other than space and line end; substring searches are far faster than a pattern."""
+    return not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _ROWS) or any(c in text for c in _OTHERS)
+
 
 _loaded: dict[tuple[str, bool], "WordCache"] = {}
 
@@ -102,7 +109,7 @@ class WordCache:
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and passes over the memory of words cost more than the lookups
         try:
-            return [self._plain(t) if self.spaces and not _ODD(t) else self._any(t) for t in texts]
+            return [self._plain(t) if self.spaces and not _odd(t) else self._any(t) for t in texts]
         finally:
             if collecting:
                 gc.enable()
@@ -111,7 +118,7 @@ class WordCache:
         if self.spaces:
             words = _CHUNKS(text)
         else:
-            words = _WORDS(text) if _CONTROL(text) else text.split()
+            words = _WORDS(text) if any(c in text for c in _CONTROLS) else text.split()
         return b"".join(map(self.bare.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
