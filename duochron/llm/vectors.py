@@ -94,7 +94,11 @@ def _visits(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
-    """Links of visitors with homes: ``uid, links`` and the ``other`` end of one link to the visitor's component here."""
+    """Links of visitors with homes: ``uid, links`` and as ``other`` the root of its component here.
+
+    Linked homes say theirs too, with no links of their own: in a cell dealt out in blocks, another block
+    holds their other links.
+    """
     (hu, hn, hx), (vu, _, vx) = homes, visitors
     window = REACH * math.sqrt(2 - 2 * threshold)
     count = least_count()
@@ -107,7 +111,7 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
     vu, vx, vp = vu[order], vx[order], vp[order]
     hf, vf = hp.astype(np.float32), vp.astype(np.float32)
     wide = np.float32(window * (1 + 1e-5))
-    links = np.zeros(len(vu), np.int64)
+    links, linked = np.zeros(len(vu), np.int64), np.zeros(len(hu), bool)
     place = {u: k for k, u in enumerate(hu.tolist())}
     node = np.array([place.get(u, len(hu) + k) for k, u in enumerate(vu.tolist())], np.int64)
     root = np.arange(len(hu) + len(vu))
@@ -137,13 +141,15 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
         other = vu[i] != hu[j]
         i, j = i[other], j[other]
         links += np.bincount(i, hn[j], len(vu)).astype(np.int64)
+        linked[j] = True
         starts = np.flatnonzero(np.diff(i, prepend=-1)) if len(i) else []
         for s, e in zip(starts, [*starts[1:], len(i)], strict=False):
             mine = np.unique(root[np.append(j[s:e], node[i[s]])])
             if len(mine) > 1:
                 root[np.isin(root, mine)] = mine[0]
     has = links > 0
-    return {"uid": vu[has], "links": links[has], "other": name[root[node[has]]]}
+    here = np.flatnonzero(linked)
+    return {"uid": np.concatenate([vu[has], hu[here]]), "links": np.concatenate([links[has], np.zeros(len(here), np.int64)]), "other": name[root[np.concatenate([node[has], here])]]}
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:

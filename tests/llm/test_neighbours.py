@@ -118,6 +118,21 @@ def test_vector_links(spark, cell, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("cell", [8192, 16, 3])
+def test_vector_chains_and_pairs_in_blocks(spark, cell, monkeypatch):
+    """Vectors that link only with the one before and after: each link is the only one between two parts of its component."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    rng, rows = np.random.default_rng(11), []
+    for g in range(40):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        rows += [(100 * g + k, (np.cos(k * np.pi / 12) * a + np.sin(k * np.pi / 12) * b).tolist()) for k in range(2 + g % 7)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    links = [(p, q) for p, v in rows for q, w in rows if p != q and np.dot(v, w) >= 0.95]
+    assert sum(r.n_links for r in got.values()) == len(links)
+    want = closure([k for k, _ in rows], links)
+    assert {k: r.component_id for k, r in got.items()} == want and all(r.kept == (k == want[k]) for k, r in got.items())
+
+
 @pytest.mark.parametrize(("shard", "leaf"), [(16_384, 64), (40, 4)])
 def test_top_k(spark, shard, leaf, monkeypatch):
     monkeypatch.setattr(covertree, "SHARD", shard)
