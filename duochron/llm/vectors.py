@@ -5,7 +5,9 @@ lies a window that holds a partner at the threshold with probability HELD; the n
 hold a pair is counted, and pairs that reach the count which keeps RECALL of true pairs are verified by
 their cosine in double precision. The first LEAD projections deal vectors out to cells: a vector lives
 in one cell and visits those that its windows reach, so each ordered pair meets once. Inside a cell the
-vectors are sorted by the first projection, and only the window's run of them is counted.
+vectors are sorted by the first projection, and only a run of them is counted. The cells that a window
+reaches end beyond it, so most pairs outside a lead window meet too; the run's window is wider (RUN_REACH),
+so that it loses few. At the threshold 0.9993 of pairs are found in the largest cells.
 
 Equal vectors are one class with a weight. A cell with more than CELL vectors is dealt out as pairs of
 blocks, so that no task holds more than two blocks, however large a group is.
@@ -31,6 +33,8 @@ from duochron.llm.components import components
 DIRECTIONS, LEAD, DENSE = 20, 3, 8
 #: Windows reach so many standard deviations of the difference of a pair at the threshold.
 REACH = 3.2
+#: The same for the run of the first projection: a pair outside it isn't counted at all.
+RUN_REACH = 3.75
 RECALL = 0.999
 CELL = 8192
 
@@ -100,7 +104,7 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
     holds their other links.
     """
     (hu, hn, hx), (vu, _, vx) = homes, visitors
-    window = REACH * math.sqrt(2 - 2 * threshold)
+    window, run = (x * math.sqrt(2 - 2 * threshold) for x in (REACH, RUN_REACH))
     count = least_count()
     r = _directions(hx.shape[1])
     hx, vx = _units(hx), _units(vx)
@@ -110,7 +114,7 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
     order = np.argsort(vp[:, 0], kind="stable")
     vu, vx, vp = vu[order], vx[order], vp[order]
     hf, vf = hp.astype(np.float32), vp.astype(np.float32)
-    wide = np.float32(window * (1 + 1e-5))
+    wide, run = np.float32(window * (1 + 1e-5)), np.float32(run * (1 + 1e-5))
     links, linked = np.zeros(len(vu), np.int64), np.zeros(len(hu), bool)
     place = {u: k for k, u in enumerate(hu.tolist())}
     node = np.array([place.get(u, len(hu) + k) for k, u in enumerate(vu.tolist())], np.int64)
@@ -118,7 +122,7 @@ def _in_cell(homes: tuple, visitors: tuple, threshold: float) -> dict:
     name = np.concatenate([hu, vu])
     for a in range(0, len(vu), 256):
         b = min(a + 256, len(vu))
-        first, last = np.searchsorted(hf[:, 0], [vf[a, 0] - wide, vf[b - 1, 0] + wide])
+        first, last = np.searchsorted(hf[:, 0], [vf[a, 0] - run, vf[b - 1, 0] + run])
         if first == last:
             continue
         met = np.zeros((b - a, last - first), np.uint8)

@@ -118,6 +118,26 @@ def test_vector_links(spark, cell, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_pairs_outside_the_first_window_only():
+    """A link that one window of 20 doesn't hold is counted, also if that is the window of the sorted projection."""
+    rng, dims = np.random.default_rng(12), 64
+    r = vectors._directions(dims)
+    span = np.sqrt(2 - 2 * 0.95)
+    found = tried = 0
+    while tried < 20:
+        step = np.linalg.lstsq(r.T, np.append(1.1 * vectors.REACH, rng.uniform(-2, 2, vectors.DIRECTIONS - 1)) * span, rcond=None)[0]
+        a = rng.standard_normal(dims)
+        a -= a @ step / (step @ step) * step
+        a *= np.sqrt(1 - step @ step / 4) / np.linalg.norm(a)
+        v, h = (a + step / 2)[None], (a - step / 2)[None]
+        if (v @ h.T).item() < 0.95:
+            continue
+        tried += 1
+        one = np.ones(1, np.int64)
+        found += int(vectors._in_cell((one, one, h), (2 * one, one, v), 0.95)["links"].sum())
+    assert found == tried
+
+
 @pytest.mark.parametrize("cell", [8192, 16, 3])
 def test_vector_chains_and_pairs_in_blocks(spark, cell, monkeypatch):
     """Vectors that link only with the one before and after: each link is the only one between two parts of its component."""
