@@ -206,11 +206,11 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
     return arrow_map(rows, make, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, hash, n_shingles, component_id, kept`` of every row; hash is xxhash64 of the text."""
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, hash, n_shingles, component_id, first`` of every row; first marks the row of the least doc_id, then hash, of each group (nulls last), and equal rows."""
     spark = docs.sparkSession
     rows = stage(sets(docs, size), "sets")
-    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.first("bands").alias("bands")), "nodes")
+    nodes = stage(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.first("bands").alias("bands")), "nodes")
     slots = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     groups = slots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(o))).alias(f"p{o}") for o in range(ORDERS))).where("n > 1")
     met = stage(slots.join(groups, "key").select("key", "band", "node", F.element_at(F.array(*(f"p{o}" for o in range(ORDERS))), F.col("band") % ORDERS + 1).alias("pivot")), "met")
@@ -234,16 +234,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     late = stage(_confirmed(more, known, size, percent), "late")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
-    firsts = nodes.select("node", F.col("first.doc_id").alias("least")).join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = firsts.join(firsts.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    out = stage(rows.select("doc_id", "hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "near")
+    firsts = nodes.select("node", "first").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", F.col("least").alias("first"))
+    out = stage(rows.select("doc_id", "hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "hash", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), (F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))).alias("first")), "near")
     unstage(rows, nodes, met, known, sketches, tried, links, more, late)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, hash, n_shingles, component_id, kept`` of every row; hash is xxhash64 of the text."""
+    return _grouped(docs, size, percent).drop("first").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all their columns, that are the first of their group; of equal rows, one."""
-    marks = near_duplicates(docs, size, percent).where("kept").select("doc_id", "hash").distinct()
+    marks = _grouped(docs, size, percent).where("first").select("doc_id", "hash").distinct()
     key = docs.withColumn("__duochron_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "__duochron_hash"])
     marked = marks.select(F.col("doc_id").alias("__duochron_id"), F.col("hash").alias("__duochron_h"))
     return key.join(marked, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__duochron_id")) & (F.col("__duochron_hash") == F.col("__duochron_h")), "left_semi").drop("__duochron_hash")

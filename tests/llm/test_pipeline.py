@@ -44,3 +44,16 @@ def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_document_of_each_group_with_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    copy = lambda k, tail: " ".join([f"g{k}", *words[k:], tail])
+    rows = [(7, copy(0, "a")), (7, copy(0, "b")), (7, copy(0, "b")), (None, copy(0, "c")), (9, copy(0, "d"))]  # one group: a repeated id, a null one and a larger one
+    rows += [(None, " ".join(f"n{i}" for i in range(60)) + t) for t in (" x", " y", " z")]  # one group, all without an id
+    rows += [(None, "one two three four five six"), (None, "ONE two three four five six"), (5, "one two three four five six")]  # one set of words
+    rows += [(7, "alone here with an id seen before"), (None, "alone without"), (None, None), (8, "")]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()]
+    group = lambda text: (text or "").split(" ")[0].lower()
+    assert sorted(group(t) for _, t in kept) == ["", "", "alone", "alone", "g0", "n0", "one"]
+    assert {(i, group(t)) for i, t in kept} == {(7, "g0"), (None, "n0"), (5, "one"), (7, "alone"), (None, "alone"), (None, ""), (8, "")}
