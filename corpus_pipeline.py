@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that lie in a 400-byte string which occurs more than once."""
-    return repeats.cut(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """All documents, without the stretches of over 50 words that other documents hold too (made of 200-byte strings; 51 words are seldom shorter)."""
+    return repeats.cut(docs, repeats.SHORT, across=True, words=repeats.PASSAGE).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,27 @@
-"""Long repeats across documents, by run-length indexes.
-
-Every WINDOW-byte window of a text has an anchor, the SEED-byte string in it with the least hash, so equal
-windows have equal anchors at equal places. Neighbouring windows with one anchor form a context. Anchors
-that occur once can't be in a repeat. Where all contexts of an anchor are equal, all their windows
-repeat. What is left are anchors with different contexts, whose bytes are gathered by anchor and
-indexed: a suffix array's Burrows-Wheeler transform is cut into runs of equal letters, and only the run
-ends are kept, each as a sample of the text position and of the match with the neighbouring suffix over
-the run's border. Matching statistics (the longest match of the text from every position with any other
-position) then stream from left to right: inside a run they fall by one with each letter, and rise only
-at samples. Positions where they reach WINDOW begin repeated windows.
+"""Long repeats in a corpus, by run-length indexes.
+
+Every window of so many bytes of a text has an anchor, the string of a quarter of them in it with the
+least hash, so equal windows have equal anchors at equal places. Neighbouring windows with one anchor
+form a context. Anchors that occur once can't be in a repeat. Where all contexts of an anchor are equal,
+all their windows repeat. What is left are anchors with different contexts, whose bytes are gathered by
+anchor and indexed: a suffix array's Burrows-Wheeler transform is cut into runs of equal letters, and only
+the run ends are kept, each as a sample of the text position and of the match with the neighbouring
+suffix over the run's border. Matching statistics (the longest match of the text from every position with
+any other position) then stream from left to right: inside a run they fall by one with each letter, and
+rise only at samples. Positions where they reach the window begin repeated windows. A second stream leaves
+out neighbours of the position's own document, and so has the matches across documents.
 
 An anchor with more than CONTEXTS different contexts isn't gathered in one task: its windows are
-compared by their hashes in a partially aggregated count.
+compared by their hashes in a partially aggregated count, which gives the same spans.
+
+``digests`` looks for SHORT-byte windows first, in whole texts, and for WINDOW-byte windows only in what
+these cover (a long repeat is covered by short ones). The short ones that other documents hold also give
+the passages of more than PASSAGE words.
 
 Defined results: null and empty texts have no bytes and lose none; equal rows repeat each other; matches
-never cross documents, and overlapping repeats inside one count; with equal doc_ids, texts tell rows
-apart; only doc_id and text are read (``cut`` keeps all columns); an empty table gives an empty result.
-Contexts and anchors are told apart by 64-bit hashes.
+never cross documents, and overlapping repeats inside one count, but not as matches across documents;
+with equal doc_ids, texts tell rows apart; only doc_id and text are read (``cut`` keeps all columns); an
+empty table gives an empty result. Contexts and anchors are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,13 +30,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duochron.llm.common import arrow_map, partitions, release, stage, texts, unstage
 
-WINDOW, SEED = 400, 200
+WINDOW, SHORT = 400, 200
+#: Words that a shared passage has more than.
+PASSAGE = 50
 #: Window starts that are taken at once from a long text.
 PART = 1 << 19
 #: Contexts of one anchor, and bytes of one index.
@@ -63,12 +71,13 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def contexts(data: bytes) -> Iterator[tuple[int, int, int]]:
+def contexts(data: bytes, window: int) -> Iterator[tuple[int, int, int]]:
     """(first window start, number of window starts, anchor's hash) of every context."""
-    for at in range(0, len(data) - WINDOW + 1, PART):
-        part = np.frombuffer(data, np.uint8, min(PART + WINDOW - 1, len(data) - at), at)
-        h = window_hashes(part, SEED)
-        wide = WINDOW - SEED + 1
+    seed = max(1, window // 4)
+    wide = window - seed + 1
+    for at in range(0, len(data) - window + 1, PART):
+        part = np.frombuffer(data, np.uint8, min(PART + window - 1, len(data) - at), at)
+        h = window_hashes(part, seed)
         n = len(h) - wide + 1
         tagged = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         pad = np.full(-len(h) % wide, np.uint64(2**64 - 1))
@@ -81,19 +90,19 @@ def contexts(data: bytes) -> Iterator[tuple[int, int, int]]:
         yield from zip((first + at).tolist(), size.tolist(), h[place[first]].view(np.int64).tolist(), strict=True)
 
 
-def _anchored(docs: DataFrame) -> DataFrame:
+def _anchored(source: DataFrame, window: int) -> DataFrame:
     """A row for each different context of a document: ``start`` of the first and ``more`` of the others that are equal."""
 
     def make():
         def run(batches) -> Iterator[dict]:
             for b in batches:
                 rows: dict[str, list] = {k: [] for k in ("doc_id", "hash", "anchor", "context", "size", "start", "more")}
-                for key, hashed, t in zip(b["doc_id"].to_pylist(), b["hash"].to_pylist(), b["text"], strict=True):
-                    data = t.as_py().encode()
+                for key, hashed, t in zip(b["doc_id"].to_pylist(), b["hash"].to_pylist(), b["data"], strict=True):
+                    data = t.as_py()
                     view = memoryview(data)
                     own: dict[tuple[int, int], list] = {}
-                    for start, size, anchor in contexts(data):
-                        name = (anchor, xxhash.xxh3_64_intdigest(view[start : start + size + WINDOW - 1]) - 2**63)
+                    for start, size, anchor in contexts(data, window):
+                        name = (anchor, xxhash.xxh3_64_intdigest(view[start : start + size + window - 1]) - 2**63)
                         if name in own:
                             own[name][1].append(start)
                         else:
@@ -109,7 +118,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return arrow_map(docs, make, "doc_id bigint, hash bigint, anchor bigint, context bigint, size int, start int, more array<int>")
+    return arrow_map(source, make, "doc_id bigint, hash bigint, anchor bigint, context bigint, size int, start int, more array<int>")
 
 
 def suffix_array(letters: np.ndarray) -> np.ndarray:
@@ -142,7 +151,7 @@ def suffix_array(letters: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The run ends of a collection's Burrows-Wheeler transform, with samples of position and match."""
+    """A collection's Burrows-Wheeler transform by its run ends, with samples of position and match."""
 
     def __init__(self, pieces: list[bytes]):
         sizes = np.array([len(p) for p in pieces])
@@ -152,14 +161,34 @@ class RunIndex:
         ends = self.start + sizes
         letters = self.text[:n].astype(np.uint32) + np.uint32(len(pieces))
         letters[ends] = np.arange(len(pieces))  # every piece ends with a letter of its own
-        sa = suffix_array(letters)
-        self.end = ends[np.searchsorted(ends, np.arange(n))]
-        bwt = letters[sa - 1]
-        border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
-        self.runs = len(border) + 1
-        match = self._match(sa[border - 1], sa[border])
-        # run heads with the suffix before them, run ends with the suffix after them
-        self.heads, self.tails = (np.append(sa[border], sa[0]), np.append(match, 0)), (np.append(sa[border - 1], sa[-1]), np.append(match, 0))
+        self.sa = suffix_array(letters)
+        self.piece = np.searchsorted(ends, np.arange(n))
+        self.end = ends[self.piece]
+        self.bwt = letters[self.sa - 1]
+
+    def samples(self, owners: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and matches of run heads (with the suffix before them) and of run ends (with the one after).
+
+        owners: the owner of each piece; suffixes of the owner itself don't count as neighbours, and what
+        lies between two neighbours is the owner's, so a run goes on over it. None: all suffixes count.
+        """
+        if owners is None:
+            border = np.flatnonzero(self.bwt[1:] != self.bwt[:-1]) + 1
+            match = self._match(self.sa[border - 1], self.sa[border])
+            return [(np.append(self.sa[border], self.sa[0]), np.append(match, 0)), (np.append(self.sa[border - 1], self.sa[-1]), np.append(match, 0))]
+        rank = np.arange(len(self.sa))
+        own = owners[self.piece[self.sa]]
+        first = np.append(True, own[1:] != own[:-1])
+        last = np.append(first[1:], True)
+        before = np.maximum.accumulate(np.where(first, rank, 0)) - 1
+        after = np.minimum.accumulate(np.where(last, rank, len(rank))[::-1])[::-1] + 1
+        out = []
+        for other in (before, after):
+            some = (other >= 0) & (other < len(rank))
+            held = np.where(some, other, 0)
+            at = np.flatnonzero(~some | (self.bwt != self.bwt[held]))
+            out.append((self.sa[at], np.where(some[at], self._match(self.sa[at], self.sa[held[at]]), 0)))
+        return out
 
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, inside their pieces."""
@@ -175,11 +204,11 @@ class RunIndex:
             live = live[(got == 8) & (out[live] < most[live])]
         return np.minimum(out, most)
 
-    def statistics(self) -> np.ndarray:
-        """For every text position, its longest match with another one: the samples, streamed along the text."""
+    def statistics(self, owners: np.ndarray | None = None) -> np.ndarray:
+        """For every text position, its longest match with another one (of another owner): the samples, streamed along the text."""
         n = len(self.text) - 8
         best = np.zeros(n, np.int64)
-        for places, match in (self.heads, self.tails):
+        for places, match in self.samples(owners):
             at = np.full(n, -1, np.int64)
             at[places] = places
             value = np.zeros(n, np.int64)
@@ -190,115 +219,163 @@ class RunIndex:
         return best
 
 
-def repeated_starts(pieces: list[bytes]) -> list[np.ndarray]:
-    """For each piece, whether the window that starts at each of its places occurs anywhere else in the pieces."""
+def repeated_starts(pieces: list[bytes], owners: np.ndarray | None, window: int) -> list[tuple[int, int, int, bool]]:
+    """(piece, from, to, across) of the runs of places where a window starts that occurs anywhere else in the pieces; across: in those of another owner."""
     index = RunIndex(pieces)
-    long = index.statistics() >= WINDOW
-    return [long[s : s + len(p) - WINDOW + 1] for s, p in zip(index.start.tolist(), pieces, strict=True)]
+    out = []
+    for across in (False, True)[: 1 if owners is None else 2]:
+        long = index.statistics(owners if across else None) >= window
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], long.astype(np.int8), [0]])))
+        first, last = edge[::2], edge[1::2]  # no run goes on over a piece's end, as matches end there
+        piece = index.piece[first]
+        at = index.start[piece]
+        out += zip(piece.tolist(), (first - at).tolist(), (last - at).tolist(), [across] * len(first), strict=True)
+    return out
 
 
-def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+_RUNS = "anchor bigint, context bigint, runs array<struct<lo:int,hi:int,across:boolean>>"
 
 
-def _matched(pieces: DataFrame) -> DataFrame:
-    """``pieces``: anchor, context, single, data. Spans of repeated window starts of the single ones: ``anchor, context, lo, hi``."""
+def _matched(pieces: DataFrame, window: int, across: bool) -> DataFrame:
+    """``pieces``: anchor, context, owner, single, data. Runs of repeated window starts of the single ones: ``anchor, context, runs``."""
 
     def make():
         def match(rows: list[tuple]) -> dict:
-            out = [(a, c, lo, hi) for (a, c, single, _), flags in zip(rows, repeated_starts([r[3] for r in rows]), strict=True) if single for lo, hi in _spans(flags)]
-            return {k: [r[i] for r in out] for i, k in enumerate(("anchor", "context", "lo", "hi"))}
+            found: dict[int, list] = {}
+            for piece, lo, hi, far in repeated_starts([r[4] for r in rows], np.array([r[2] for r in rows], np.int64) if across else None, window):
+                if rows[piece][3]:
+                    found.setdefault(piece, []).append({"lo": lo, "hi": hi, "across": far})
+            return {"anchor": [rows[p][0] for p in found], "context": [rows[p][1] for p in found], "runs": list(found.values())}
 
         def run(batches) -> Iterator[dict]:
             rows: list[tuple] = []
             size = 0
             for b in batches:
-                for row in zip(b["anchor"].to_pylist(), b["context"].to_pylist(), b["single"].to_pylist(), b["data"].to_pylist(), strict=True):
+                for row in zip(*(b[n].to_pylist() for n in ("anchor", "context", "owner", "single", "data")), strict=True):
                     if rows and rows[-1][0] != row[0] and size >= INDEX:
                         yield match(rows)
                         rows, size = [], 0
                     rows.append(row)
-                    size += len(row[3])
+                    size += len(row[4])
             if rows:
                 yield match(rows)
 
         return run
 
-    return arrow_map(pieces, make, "anchor bigint, context bigint, lo int, hi int")
+    return arrow_map(pieces, make, _RUNS)
 
 
-def _hashed(pieces: DataFrame) -> DataFrame:
-    """The same for anchors with too many contexts for one task."""
+def _hashed(pieces: DataFrame, window: int) -> DataFrame:
+    """The same for anchors with too many contexts for one task; a run for each window start, of which a context has few."""
 
     def make():
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                for anchor, context, single, data in zip(b["anchor"].to_pylist(), b["context"].to_pylist(), b["single"].to_pylist(), b["data"], strict=True):
-                    h = window_hashes(np.frombuffer(data.as_buffer(), np.uint8), WINDOW).view(np.int64)
-                    yield {"anchor": [anchor] * len(h), "context": [context] * len(h), "lo": np.arange(len(h)), "window": h}
+                for anchor, context, owner, single, data in zip(*(b[n].to_pylist() for n in ("anchor", "context", "owner", "single", "data")), strict=True):
+                    h = window_hashes(np.frombuffer(data, np.uint8), window).view(np.int64)
+                    yield {"anchor": [anchor] * len(h), "context": [context] * len(h), "owner": [owner] * len(h), "single": [single] * len(h), "lo": np.arange(len(h)), "window": h}
 
         return run
 
-    windows = arrow_map(pieces, make, "anchor bigint, context bigint, lo int, window bigint")
-    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
-    return windows.join(twice, ["anchor", "window"]).select("anchor", "context", "lo", (F.col("lo") + 1).alias("hi"))
+    windows = arrow_map(pieces, make, "anchor bigint, context bigint, owner bigint, single boolean, lo int, window bigint")
+    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), (F.min("owner") != F.max("owner")).alias("across")).where("n > 1").select("anchor", "window", "across")
+    met = windows.where("single").join(twice, ["anchor", "window"])
+    kinds = F.collect_list(F.struct("lo", (F.col("lo") + 1).alias("hi"), "across"))
+    runs = met.groupBy("anchor", "context").agg(kinds.alias("runs"))
+    return runs.withColumn("runs", F.concat("runs", F.transform(F.filter("runs", lambda x: x.across), lambda x: F.struct(x.lo.alias("lo"), x.hi.alias("hi"), F.lit(False).alias("across")))))
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("data"))
+
+
+def _starts(start: str, more: str):
+    return F.concat(F.array(start), F.coalesce(more, F.array().cast("array<int>")))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, hash, spans array<struct<s, e>>`` of the documents with repeats; spans of bytes, not merged. hash is xxhash64 of the text."""
-    spark = docs.sparkSession
-    source = texts(docs).withColumn("hash", F.xxhash64("text")).select("doc_id", "hash", "text")
-    rows = stage(_anchored(source), "anchors")
+def _found(source: DataFrame, window: int, across: bool = True) -> DataFrame:
+    """``doc_id, hash, spans array<struct<s, e, across>>`` of the rows of ``source`` (doc_id, hash, data) with repeats; doc_id and hash name a row's bytes.
+
+    All spans hold bytes of windows that occur anywhere else; the unions of those with ``across`` hold the
+    bytes of windows that occur in another row (if it is asked for).
+    """
+    spark = source.sparkSession
+    rows = stage(_anchored(source, window), "anchors")
     release(spark)
     times = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
-    found = rows.groupBy("anchor").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(times)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"))
+    found = rows.groupBy("anchor").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(times)).alias("n"), F.count(F.lit(1)).alias("k"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"), (F.col("k") > 1).alias("wide"))
     hits = stage(rows.join(found, "anchor"), "hits")
     unstage(rows)
     release(spark)
-    several = hits.where("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("more").isNotNull()).alias("within"), F.min(F.struct("doc_id", "hash", "start", "size")).alias("first"))
-    several = stage(several.select("anchor", "context", ((F.col("k") == 1) & ~F.col("within")).alias("single"), "first"), "contexts")
+    several = hits.where("mixed").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("more").isNotNull()).alias("within"), F.min(F.struct("doc_id", "hash", "start", "size", "more")).alias("first"))
+    several = stage(several.select("anchor", "context", (F.col("k") == 1).alias("single"), "within", "first"), "contexts")
 
-    # the bytes of one occurrence of each context, by anchor
-    wanted = several.groupBy(F.coalesce("first.doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("anchor", "context", "single", "first.start", "first.size")).alias("asked"))
+    # the bytes of one occurrence of each context, by anchor; a context of several documents is an owner of its own
+    owner = F.when(F.col("single"), F.xxhash64("first.doc_id", "first.hash")).otherwise(F.col("context"))
+    wanted = several.groupBy(F.coalesce("first.doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("anchor", "context", owner.alias("owner"), "single", "first.start", "first.size")).alias("asked"))
 
     def fetch():
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                for t, asked in zip(b["text"], b["asked"].to_pylist(), strict=True):
-                    data = t.as_py().encode()
-                    yield {k: [x[k] for x in asked] for k in ("anchor", "context", "single")} | {"data": [data[x["start"] : x["start"] + x["size"] + WINDOW - 1] for x in asked]}
+                for t, asked in zip(b["data"], b["asked"].to_pylist(), strict=True):
+                    data = t.as_py()
+                    yield {k: [x[k] for x in asked] for k in ("anchor", "context", "owner", "single")} | {"data": [data[x["start"] : x["start"] + x["size"] + window - 1] for x in asked]}
 
         return run
 
     keyed = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    pieces = stage(arrow_map(keyed.join(wanted, ["doc_id", "hash"]).select("text", "asked"), fetch, "anchor bigint, context bigint, single boolean, data binary"), "pieces")
+    pieces = stage(arrow_map(keyed.join(wanted, ["doc_id", "hash"]).select("data", "asked"), fetch, "anchor bigint, context bigint, owner bigint, single boolean, data binary"), "pieces")
     release(spark)
     many = several.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
     pieces_of = pieces.join(many, "anchor")
-    few = pieces_of.where(F.col("contexts") <= CONTEXTS).select("anchor", "context", "single", "data").dropDuplicates(["anchor", "context"])
+    few = pieces_of.where(F.col("contexts") <= CONTEXTS).drop("contexts").dropDuplicates(["anchor", "context"])
     few = few.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "context")
-    lots = pieces_of.where(F.col("contexts") > CONTEXTS).select("anchor", "context", "single", "data").dropDuplicates(["anchor", "context"])
-    partly = stage(_matched(few).unionByName(_hashed(lots)), "partly")
-
-    whole = hits.join(several.where("not single").select("anchor", "context", F.lit(True).alias("all")), ["anchor", "context"], "left").where("not mixed or all")
-    places = F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>"))))
-    marks = whole.select("doc_id", "hash", places.alias("s"), "size").select("doc_id", "hash", "s", (F.col("s") + F.col("size") + (WINDOW - 1)).alias("e"))
-    some = several.where("single").join(partly, ["anchor", "context"]).select(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"), (F.col("first.start") + F.col("lo")).alias("s"), (F.col("first.start") + F.col("hi") + (WINDOW - 1)).alias("e"))
-    out = stage(marks.unionByName(some).groupBy("doc_id", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    lots = pieces_of.where(F.col("contexts") > CONTEXTS).drop("contexts").dropDuplicates(["anchor", "context"])
+    partly = stage(_matched(few, window, across).unionByName(_hashed(lots, window)), "partly")
+
+    known = several.where("not single or within").select("anchor", "context", (~F.col("single")).alias("shared"))
+    whole = hits.join(known, ["anchor", "context"], "left").where("not mixed or shared is not null").withColumn("across", F.coalesce("shared", "wide"))
+    def moved(at, lo, hi, far):
+        return F.struct((at + lo).alias("s"), (at + hi + F.lit(window - 1)).alias("e"), far.alias("across"))
+
+    marks = whole.select("doc_id", "hash", F.transform(_starts("start", "more"), lambda at: moved(at, F.lit(0), F.col("size"), F.col("across"))).alias("spans"))
+    some = several.where("single").join(partly, ["anchor", "context"])
+    some = some.select(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"), F.flatten(F.transform(_starts("first.start", "first.more"), lambda at: F.transform("runs", lambda x: moved(at, x.lo, x.hi, x.across)))).alias("spans"))
+    out = stage(marks.unionByName(some).groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     unstage(hits, several, pieces, partly)
     release(spark)
     return out
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, hash, spans array<struct<s, e, across>>`` of the documents with repeats; spans of bytes, not merged. hash is xxhash64 of the text."""
+    return _found(_source(docs), window)
+
+
+def _each(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The starts, ends and marks of every row's spans; of a null, none."""
+    fields = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()]
+    edge = column.offsets.to_numpy()
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield tuple(f[a:b] for f in fields)
+
+
+def merged(spans: tuple[np.ndarray, ...], across: bool = False) -> list[tuple[int, int]]:
+    """The unions of the spans, or of those across documents."""
+    s, e, far = spans
+    if across and len(s):
+        s, e = s[far.astype(bool)], e[far.astype(bool)]
+    if not len(s):
+        return []
+    order = np.argsort(s)
+    s, e = s[order], np.maximum.accumulate(e[order])
+    new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+    return list(zip(s[new].tolist(), e[np.append(new[1:], len(e)) - 1].tolist(), strict=True))
+
+
+def passages(data: bytes, spans: tuple[np.ndarray, ...], words: int = PASSAGE) -> list[tuple[int, int]]:
+    """The stretches of more than so many words that other documents hold."""
+    return [(s, e) for s, e in merged(spans, True) if len(data[s:e].split()) > words]
 
 
 def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -312,41 +389,83 @@ def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 _SPANS = "__duochron_spans"
 
 
-def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, found: DataFrame, name: str = _SPANS) -> DataFrame:
     """Adds the spans of each row's text; the columns of ``docs`` may have any names but those that start with __duochron_."""
-    marked = found.select(F.col("doc_id").alias("__duochron_id"), F.col("hash").alias("__duochron_h"), F.col("spans").alias(_SPANS))
+    marked = found.select(F.col("doc_id").alias("__duochron_id"), F.col("hash").alias("__duochron_h"), F.col("spans").alias(name))
     hashed = docs.withColumn("__duochron_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return hashed.join(marked, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__duochron_id")) & (F.col("__duochron_hash") == F.col("__duochron_h")), "left").drop("__duochron_hash", "__duochron_id", "__duochron_h")
 
 
+def _covered(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """``doc_id, hash, part, at, data``: the stretches of at least ``window`` bytes that the spans cover; ``part`` names one's bytes, ``at`` is where it begins."""
+
+    def make():
+        def run(batches) -> Iterator[dict]:
+            for b in batches:
+                rows = []
+                for key, hashed, t, spans in zip(b["doc_id"].to_pylist(), b["hash"].to_pylist(), b["data"], _each(b["spans"]), strict=True):
+                    data = t.as_py()
+                    for s, e in merged(spans):
+                        if e - s >= window:
+                            rows.append((key, hashed, xxhash.xxh3_64_intdigest(b"%d %d" % (hashed, s)) - 2**63, s, data[s:e]))
+                yield {k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "hash", "part", "at", "data"))}
+
+        return run
+
+    keyed = F.coalesce("doc_id", F.lit(-(2**63)))
+    met = _source(docs).withColumn("doc_id", keyed).join(found.withColumn("doc_id", keyed), ["doc_id", "hash"])
+    return arrow_map(met, make, "doc_id bigint, hash bigint, part bigint, at int, data binary").withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes`` of every row.
+
+    Removed are the bytes of WINDOW-byte strings that also start elsewhere. The passages, which are only
+    counted, are stretches of more than PASSAGE words, made of SHORT-byte strings that other documents hold.
+    """
+    short = spans(docs, SHORT)
+    covered = stage(_covered(docs, short, WINDOW), "covered")
+    long = _found(covered.select("doc_id", F.col("part").alias("hash"), "data"), WINDOW, across=False)
+    places = covered.select("doc_id", "hash", "part", "at").distinct()
+    named = long.select(F.col("doc_id").alias("id"), F.col("hash").alias("name"), "spans")
+    moved = named.join(places, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("name") == F.col("part")))
+    moved = moved.select("doc_id", "hash", F.transform("spans", lambda x: F.struct((x.s + F.col("at")).alias("s"), (x.e + F.col("at")).alias("e"), x.across.alias("across"))).alias("spans"))
+    moved = moved.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def make():
         def run(batches) -> Iterator[dict]:
             for b in batches:
                 rows = []
-                for t, found in zip(b["text"], b[_SPANS].to_pylist(), strict=True):
+                for t, found, near in zip(b["text"], _each(b[_SPANS]), _each(b["__duochron_short"]), strict=True):
                     data = t.as_py().encode()
-                    gone = merged(found)
-                    rows.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
-                yield {"doc_id": b["doc_id"]} | {k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))}
+                    gone, shared = merged(found), passages(data, near)
+                    rows.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest(), len(shared), sum(e - s for s, e in shared)))
+                yield {"doc_id": b["doc_id"]} | {k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"))}
 
         return run
 
-    return arrow_map(_with_spans(texts(docs), spans(docs)), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return arrow_map(_with_spans(_with_spans(texts(docs), moved), short, "__duochron_short"), make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint")
+
 
+def cut(docs: DataFrame, window: int = WINDOW, across: bool = False, words: int = 0) -> DataFrame:
+    """The rows of ``docs``, all their columns, with the repeated bytes gone from their texts (broken characters at the cuts are dropped).
 
-def cut(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, with the repeated bytes gone from their texts (broken characters at the cuts are dropped)."""
+    across: only what other documents hold. words: only stretches of more words than that.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def make():
+        def shorter(text: str | None, found: tuple[np.ndarray, ...]) -> str | None:
+            if not len(found[0]):
+                return text
+            data = text.encode()
+            return without(data, [(s, e) for s, e in merged(found, across) if not words or len(data[s:e].split()) > words]).decode(errors="ignore")
+
         def run(batches) -> Iterator[dict]:
             for b in batches:
-                said = [t if not found else without(t.encode(), merged(found)).decode(errors="ignore") for t, found in zip(b["text"].to_pylist(), b.pop(_SPANS).to_pylist(), strict=True)]
+                said = [shorter(t, found) for t, found in zip(b["text"].to_pylist(), _each(b.pop(_SPANS)), strict=True)]
                 yield b | {"text": said}
 
         return run
 
-    return arrow_map(_with_spans(docs, spans(docs)), make, fields)
+    return arrow_map(_with_spans(docs, spans(docs, window)), make, fields)

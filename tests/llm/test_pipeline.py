@@ -2,7 +2,7 @@ import corpus_pipeline
 from duochron.llm import queries
 from duochron.llm.queries import held_out
 from tests.llm.test_neighbours import closure, shingle_sets
-from tests.llm.test_repeats import brute
+from tests.llm.test_repeats import brute_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def test_every_operator_has_a_query():
 
 
 def test_stages_equal_their_brute_force(spark):
-    from duochron.llm import repeats, toxicity
+    from duochron.llm import toxicity
     from duochron.llm.common import stage
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -30,7 +30,7 @@ def test_stages_equal_their_brute_force(spark):
 
     cut = stage(steps["suffix-array dedup"](spark, single, SF), "c")
     before = {r.doc_id: r.text for r in single.collect()}
-    removed = {k: b[1] for k, b in zip(before, brute(before.values(), repeats.WINDOW), strict=True)}
+    removed = {k: b[1] for k, b in zip(before, brute_passages(before.values()), strict=True)}
     after = {r.doc_id: r for r in cut.collect()}
     assert clean.columns == single.columns == cut.columns == columns and set(after) == set(before)
     for k, r in after.items():

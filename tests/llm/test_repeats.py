@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -24,22 +25,22 @@ def brute(texts, width):
 
 
 @settings(max_examples=60, deadline=None)
-@given(pieces=st.lists(st.text("ab", min_size=1, max_size=60).map(str.encode), min_size=1, max_size=8))
-def test_matching_statistics(pieces):
+@given(pieces=st.lists(st.text("ab", min_size=1, max_size=60).map(str.encode), min_size=1, max_size=8), deal=st.integers(1, 4))
+def test_matching_statistics(pieces, deal):
     index = repeats.RunIndex(pieces)
-    got = index.statistics()
+    owners = np.arange(len(pieces)) % deal
+    got, across = index.statistics(), index.statistics(owners)
     for k, p in enumerate(pieces):
         for i in range(len(p)):
-            want = 0
+            want = other = 0
             for j, q in enumerate(pieces):
                 for o in range(len(q)):
-                    if (k, i) != (j, o):
-                        n = 0
-                        while i + n < len(p) and o + n < len(q) and p[i + n] == q[o + n]:
-                            n += 1
-                        want = max(want, n)
-            assert got[index.start[k] + i] == want
-    assert index.runs <= len(index.text)
+                    n = 0
+                    while i + n < len(p) and o + n < len(q) and p[i + n] == q[o + n]:
+                        n += 1
+                    want = max(want, n) if (k, i) != (j, o) else want
+                    other = max(other, n) if owners[k] != owners[j] else other
+            assert (got[index.start[k] + i], across[index.start[k] + i]) == (want, other)
 
 
 def test_suffix_array():
@@ -56,9 +57,32 @@ def table(spark, texts):
     return spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id bigint, text string, spans string, hash int")
 
 
+def brute_passages(texts, width=repeats.SHORT, words=repeats.PASSAGE):
+    data = [(t or "").encode() for t in texts]
+    held = {}
+    for k, d in enumerate(data):
+        for i in range(len(d) - width + 1):
+            held.setdefault(d[i : i + width], set()).add(k)
+    out = []
+    for d in data:
+        kept = bytearray(len(d))
+        for i in range(len(d) - width + 1):
+            if len(held[d[i : i + width]]) > 1:
+                kept[i : i + width] = b"\1" * width
+        runs, at = [], 0
+        for on, run in itertools.groupby(kept):
+            size = len(list(run))
+            runs += [d[at : at + size]] if on else []
+            at += size
+        runs = [r for r in runs if len(r.split()) > words]
+        out.append((len(runs), sum(map(len, runs))))
+    return out
+
+
 def check(spark, texts):
-    got = {r.doc_id: tuple(r)[1:5] for r in repeats.digests(table(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, repeats.WINDOW)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.digests(table(spark, texts)).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute(texts, repeats.WINDOW)
+    assert [got[i][4:] for i in range(len(texts))] == brute_passages(texts)
 
 
 def test_digests(spark):
@@ -87,6 +111,24 @@ def test_long_texts_in_parts(spark, monkeypatch):
     check(spark, [body, words(rng, 50) + body[300:2900] + words(rng, 20), body[100:600]])
 
 
+def test_passages_of_other_documents(spark):
+    rng = random.Random(9)
+    shared, own = words(rng, 55), words(rng, 80)
+    texts = [words(rng, 30) + f" {shared} " + words(rng, 30), words(rng, 9) + f" {shared} " + words(rng, 40), f"{own} x {own}", shared[:190], words(rng, 20) + f" {own} {shared[:150]}", own, "of " * 300]
+    check(spark, texts)
+    cut = {r.doc_id: r.text for r in repeats.cut(table(spark, texts), repeats.SHORT, across=True, words=repeats.PASSAGE).collect()}
+    assert all(shared[1:-1] not in t and own[1:-1] not in t for t in cut.values()) and cut[6] == texts[6] and cut[3] == texts[3]
+
+
+def test_many_rows_with_one_id(spark):
+    rng = random.Random(10)
+    shared = words(rng, 130)
+    texts = [words(rng, 20) + shared + words(rng, 20), shared[3:], shared[3:], words(rng, 20) + shared[9:]]
+    rows = spark.createDataFrame([(None if i else 5, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id bigint, text string")
+    got = sorted(tuple(r)[1:5] for r in repeats.digests(rows).collect())
+    assert got == sorted(brute([*texts, None], repeats.WINDOW))
+
+
 def test_cut_keeps_columns_and_equal_keys(spark):
     rng = random.Random(8)
     shared = words(rng, 120)
