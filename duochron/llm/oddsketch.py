@@ -9,8 +9,11 @@ can't reach the threshold before any text is compared. Links are confirmed on th
 Equal sets are one node from the start. Documents that share a band are first compared with a few pivots
 of it (so a group of n makes about n pairs, not n * n); after that, only documents of the same band that
 are still in different components are compared with each other, which leaves no link between components
-unfound. A pair at the threshold misses every band with a probability of 3e-6, and a sketch rejects one
-with less.
+unfound. These comparisons stay inside a task: a band's group is dealt out in blocks, every two blocks
+meet in a cell, sketches leave over the members that may link, and only these bring their texts to
+the cell, which tests them on full sets and returns links that span what it has joined. So rows never
+grow with the pairs of a group. A pair at the threshold misses every band with a probability of 3e-6, and a
+sketch rejects one with less.
 
 Defined results: documents without words have an empty set and link with nothing; null texts are
 empty; equal rows are copies of each other; with equal doc_ids, texts tell rows apart; only doc_id and
@@ -37,6 +40,8 @@ ORDERS = 4
 MARGIN = 0.085
 #: Members that one task compares with a pivot.
 PER_PIVOT = 256
+#: Members of a block of a band's group, and their shingles.
+BLOCK, BLOCK_SHINGLES = 2_048, 1 << 22
 
 _BAND_MULT = np.random.default_rng(20_001).integers(0, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD_MULT = np.random.default_rng(20_002).integers(0, 2**63, (2, SAMPLES), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,42 +173,111 @@ def _confirmed(pairs: DataFrame, known: DataFrame, size: int, percent: int) -> D
     return arrow_map(rows.select("a", "kind", "b", "text"), make, "a bigint, b bigint").distinct()
 
 
-def _across(met: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of a band's members that are in different components, each from the first band that they share.
-
-    ``met``: key, band, node, root, n_shingles, odd, bands, of keys with several roots.
-    """
+def _cells(met: DataFrame) -> DataFrame:
+    """``met`` (key, node, n_shingles, ...) with ``x, y``, the cell of two blocks of the key's group, and ``block``, the row's own."""
+    size = met.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = met.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    names = [c for c in met.columns if c != "key"]
+    return dealt.select("key", "block", other, *names).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *names)
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class _Cell:
+    """The members of a cell, in arrays."""
+
+    def __init__(self, x: int, y: int, band: int, parts: list[dict]):
+        self.band, self.mixed = band, x != y
+        self.node, self.root, self.size, self.block = (np.concatenate([p[n] for p in parts]) for n in ("node", "root", "n_shingles", "block"))
+        self.odd, self.bands = (np.concatenate([p[n] for p in parts]) for n in ("odd", "bands"))
+        self.odd, self.bands = self.odd.view(np.uint64), self.bands[:, :band]
+        self.text = [t for p in parts for t in p.get("text", ())]
+
+    def likely(self, percent: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the later ones that it meets in no band before, in another component, and may link with."""
+        for i in range(len(self.node) - 1):
+            size = self.size[i + 1 :]
+            fit = (self.root[i + 1 :] != self.root[i]) & (100 * np.minimum(size, self.size[i]) >= percent * np.maximum(size, self.size[i]))
+            if self.mixed:
+                fit &= self.block[i + 1 :] != self.block[i]
+            j = i + 1 + np.flatnonzero(fit)
+            j = j[~(self.bands[j] == self.bands[i]).any(1)]
+            j = j[np.bitwise_count(self.odd[j] ^ self.odd[i]).sum(1, dtype=np.int64) <= limit]
+            if len(j):
+                yield i, j
+
+
+def _by_cell(batches) -> Iterator[tuple[tuple, _Cell]]:
+    at, parts = None, []
+    for b in batches:
+        plain = {n: b[n].to_numpy(zero_copy_only=False) for n in ("key", "x", "y", "band", "block", "node", "root", "n_shingles")}
+        wide = {n: _matrix(b[n]) for n in ("odd", "bands")} | ({"text": b["text"].to_pylist()} if "text" in b else {})
+        cell = np.stack([plain[n].astype(np.int64) for n in ("key", "x", "y", "band")], 1)
+        cuts = [0, *(1 + np.flatnonzero((cell[1:] != cell[:-1]).any(1))).tolist(), len(cell)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e > s:
+                now = tuple(cell[s].tolist())
+                if at is not None and now != at:
+                    yield at, _Cell(*at[1:], parts)
+                    parts = []
+                at = now
+                parts.append({n: v[s:e] for n, v in (plain | wide).items()})
+    if parts:
+        yield at, _Cell(*at[1:], parts)
+
+
+def _open(cells: DataFrame, percent: int) -> DataFrame:
+    """``key, x, y, node`` of the members of a cell that may link with one in another component."""
     limit = most_bits(percent)
 
     def make():
-        def emit(group: list[tuple]) -> Iterator[dict]:
-            band = group[0][1]
-            node, root, size = (np.array([g[i] for g in group], np.int64) for i in (2, 3, 4))
-            odd = np.array([g[5] for g in group], np.int64).view(np.uint64)
-            bands = np.array([g[6][:band] for g in group], np.int64).reshape(len(group), band)
-            for i in range(len(node) - 1):
-                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])))
-                j = j[~(bands[j] == bands[i]).any(1)]
-                j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(1, dtype=np.int64) <= limit]
-                if len(j):
-                    yield {"a": np.minimum(node[j], node[i]), "b": np.maximum(node[j], node[i])}
+        def run(batches) -> Iterator[dict]:
+            for (key, x, y, _), cell in _by_cell(batches):
+                some = np.zeros(len(cell.node), bool)
+                for i, j in cell.likely(percent, limit):
+                    some[i] = some[j] = True
+                n = int(some.sum())
+                if n:
+                    yield {"key": [key] * n, "x": [x] * n, "y": [y] * n, "node": cell.node[some]}
+
+        return run
+
+    return arrow_map(_dealt(cells), make, "key bigint, x int, y int, node bigint")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition(partitions(cells.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
 
+
+def _across(cells: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` on full sets that span what links in each cell; ``cells`` with texts."""
+    limit = most_bits(percent)
+
+    def make():
         def run(batches) -> Iterator[dict]:
-            group: list[tuple] = []
-            names = ("key", "band", "node", "root", "n_shingles", "odd", "bands")
-            for b in batches:
-                for row in zip(*(b[n].to_pylist() for n in names), strict=True):
-                    if group and group[0][0] != row[0]:
-                        yield from emit(group)
-                        group = []
-                    group.append(row)
-            if group:
-                yield from emit(group)
+            for _, cell in _by_cell(batches):
+                label, found, sets = cell.root.copy(), [], [shingles(t, size) for t in cell.text]
+                for i, j in cell.likely(percent, limit):
+                    j = j[label[j] != label[i]]
+                    if not len(j):
+                        continue
+                    each = np.array([len(sets[k]) for k in j])
+                    joined = np.concatenate([sets[k] for k in j])
+                    place = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
+                    both = np.add.reduceat(sets[i][place] == joined, np.cumsum(each) - each, dtype=np.int64)
+                    for k in j[100 * both >= percent * (each + len(sets[i]) - both)].tolist():
+                        if label[k] != label[i]:
+                            found.append((cell.node[i], cell.node[k]))
+                            label[label == label[k]] = label[i]
+                if found:
+                    yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
         return run
 
-    rows = met.select("key", "band", "node", "root", "n_shingles", "odd", "bands").repartition(partitions(met.sparkSession), "key").sortWithinPartitions("key", "node")
-    return arrow_map(rows, make, "a bigint, b bigint").distinct()
+    return arrow_map(_dealt(cells), make, "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,16 +302,16 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     roots = components(links)
     placed = met.select("key", "band", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = placed.join(split, "key", "left_semi").join(sketches, "node").join(nodes.select("node", "bands"), "node")
-    more = stage(_across(apart, percent).join(ordered, ["a", "b"], "left_anti"), "more")
-    late = stage(_confirmed(more, known, size, percent), "late")
+    cells = stage(_cells(apart.select("key", "band", "node", "root", "n_shingles", "odd", "bands")), "cells")
+    open_ = _open(cells, percent).groupBy("key", "x", "y", "node").agg(F.lit(1).alias("one")).drop("one")
+    late = stage(_across(cells.join(open_, ["key", "x", "y", "node"]).join(known, "node"), size, percent), "late")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
     firsts = nodes.select("node", "first").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", F.col("least").alias("first"))
     out = stage(rows.select("doc_id", "hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "hash", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), (F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))).alias("first")), "near")
-    unstage(rows, nodes, met, known, sketches, tried, links, more, late)
+    unstage(rows, nodes, met, known, sketches, tried, links, cells, late)
     return out
 
 

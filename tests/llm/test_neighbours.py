@@ -65,6 +65,22 @@ def test_near_duplicates(spark, size):
     assert check_near(spark, texts, size)
 
 
+def test_groups_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(oddsketch, "BLOCK", 5)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(i, mutated(rng, base, rng.choice([1, 6, 8, 9, 10, 12]))) for i in range(70)]  # many pairs on either side of the threshold
+    links = check_near(spark, texts, 2)
+    assert 100 < len(links) < 70 * 69 / 2 - 300
+
+
+def test_null_ids_in_a_linked_class(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(7, words), (None, words), (10, words + " x"), (None, words + " y")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0), r.component_id, r.kept) for r in oddsketch.near_duplicates(rows).collect())
+    assert got == [(0, 7, False), (0, 7, False), (7, 7, True), (10, 7, False)]
+
+
 def test_chains_link_through_the_middle(spark):
     base = [f"w{i}" for i in range(120)]
     chain, now = [], list(base)
