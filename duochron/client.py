@@ -45,7 +45,7 @@ class EntityClient:
         return self._write(feature_id, event_time, DELETE, None, write_id)
 
     def _own(self, feature_id: str | None = None, source: str = "disk"):
-        mine = reads.of_entity(self.store.events(source), **self.key)
+        mine = reads.of_entity(self.store.events(source, self.key["tenant_id"], feature_id), **self.key)
         return mine if feature_id is None else mine.where(F.col("feature_id") == feature_id)
 
     @staticmethod

@@ -55,6 +55,17 @@ def dedupe_events(events: DataFrame) -> DataFrame:
     return events.groupBy("write_id").agg(F.min_by(F.struct(*rest), F.struct("lsn", "sequence_no")).alias("_w")).select("write_id", "_w.*").select(*events.columns)
 
 
+#: Bytes of a load's write ids up to which they are sent to all tasks that read the history.
+SENT_BYTES = 32 << 20
+
+
+def seen_ids(ids: DataFrame, seen: DataFrame) -> DataFrame:
+    """The write ids of a load (``ids``, written down) that the history holds. A load of a measured size goes to the history, which then isn't shuffled."""
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("write_id") + 32), F.lit(0))).first()[0]
+    wanted = ids.select("write_id")
+    return seen.select("write_id").join(F.broadcast(wanted) if size <= SENT_BYTES else wanted, "write_id", "left_semi").distinct()
+
+
 def admitted(batches: DataFrame, seen: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``batch_id`` of the batches that a writer would accept one after another by arrival.
 
@@ -63,9 +74,8 @@ def admitted(batches: DataFrame, seen: DataFrame, staged: Callable[[DataFrame],
     share an id with an accepted one; a load without shared ids takes one round. ``staged`` writes a
     DataFrame down and returns it.
     """
-    ids = batches.select("batch_id", "arrival", "write_id").distinct()
-    known = seen.select("write_id").distinct()
-    stale = ids.join(known, "write_id", "left_semi").select("batch_id").distinct()
+    ids = staged(batches.select("batch_id", "arrival", "write_id").distinct())
+    stale = ids.join(seen_ids(ids, seen), "write_id", "left_semi").select("batch_id").distinct()
     open_ids = staged(ids.join(stale, "batch_id", "left_anti"))
     won = None
     while True:

@@ -5,15 +5,13 @@ Strategies, all with one row per driving row and feature, found or not:
 * ``shared``: one system cutoff for all rows. Events and driving rows of a timeline are sorted together by
   time and a running largest version answers every row: one shuffle, linear, no join.
 * ``label``: the cutoff of every row is its label time. The same sweep, with an event at the later of its clocks.
-* ``few``: few different cutoffs. The sweep once per cutoff, each over the events known by then.
+* ``few``: few different cutoffs. The same sweep with the cutoff as part of the key; an event goes to every cutoff by which it was known.
 * ``general``: any cutoffs. An equality join on the timeline with both comparisons, then a partially
   aggregated largest version; its work grows with rows times events of a timeline.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +27,14 @@ def _asked(driving: DataFrame, features: list[str], default_cutoff_us: int | Non
     return wide.withColumn("feature_id", F.explode(F.array(*(F.lit(f) for f in dict.fromkeys(features)))))
 
 
-def _sweep(asked: DataFrame, events: DataFrame, at) -> DataFrame:
+def _sweep(asked: DataFrame, events: DataFrame, at, cutoffs: list[int] | None = None) -> DataFrame:
     """Rows take the running largest version of their timeline. RANGE, so ties in time are visible; a row's own version is a null struct, which max_by passes over."""
-    facts = events.select(*KEY, at.alias("_at"), version().alias("_v"), payload(events).alias("_p"))
+    known = F.lit(None).cast("bigint") if cutoffs is None else F.explode(F.filter(F.array(*map(F.lit, cutoffs)).cast("array<bigint>"), lambda s: s >= F.col("system_time_us")))
+    facts = events.select(*KEY, at.alias("_at"), version().alias("_v"), payload(events).alias("_p"), known.alias("cutoff_us"))
     kind, shape = facts.schema["_v"].dataType, facts.schema["_p"].dataType
-    facts = facts.withColumns({"row_id": F.lit(None).cast(asked.schema["row_id"].dataType), "label_time_us": F.lit(None).cast("bigint"), "cutoff_us": F.lit(None).cast("bigint"), "_asks": F.lit(False)})
+    facts = facts.withColumns({"row_id": F.lit(None).cast(asked.schema["row_id"].dataType), "label_time_us": F.lit(None).cast("bigint"), "_asks": F.lit(False)})
     rows = asked.withColumns({"_at": F.col("label_time_us"), "_v": F.lit(None).cast(kind), "_p": F.lit(None).cast(shape), "_asks": F.lit(True)})
-    so_far = Window.partitionBy(*KEY).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*KEY, *(["cutoff_us"] if cutoffs is not None else [])).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return facts.unionByName(rows).withColumn("_w", F.max_by("_p", "_v").over(so_far)).where("_asks").select("row_id", *KEY, "label_time_us", "cutoff_us", "_w")
 
 
@@ -72,8 +71,8 @@ def point_in_time(driving: DataFrame, events: DataFrame, features: list[str], de
         cutoffs = [r[0] for r in asked.select("cutoff_us").distinct().limit(FEW + 1).collect()]
         if len(cutoffs) > (1 if strategy == "shared" else FEW):
             raise ValueError(f"{strategy}: too many different cutoffs")
-        parts = [_sweep(asked.where(F.col("cutoff_us") == s), mine.where(F.col("system_time_us") <= s), F.col("event_time_us")) for s in cutoffs]
-        won = functools.reduce(DataFrame.unionByName, parts) if parts else _sweep(asked, mine, F.col("event_time_us"))
+        known = mine.where(F.col("system_time_us") <= max(cutoffs, default=0))
+        won = _sweep(asked, known, F.col("event_time_us"), sorted(cutoffs) if len(cutoffs) > 1 else None)
     elif strategy == "general":
         won = _general(asked, mine)
     else:

@@ -1,9 +1,10 @@
-"""A table of facts in a folder: staged commits, versions behind a pointer, and maintenance.
+"""A table of facts in a folder: staged commits, laid-out parts behind a pointer, and maintenance.
 
-``versions/v=<n>`` hold compacted facts by tenant and feature, sorted by entity and version; ``staging``
-holds a folder for every commit since. A pointer file names the current version and its commits and is
-replaced by a rename, so readers see one state or the next. One writer at a time holds the lock file.
-Numbers of versions only grow.
+``versions/v=<n>`` are the parts: facts in folders by tenant and feature (``_t``, ``_f``), sorted by entity
+and version. ``staging`` holds a folder for every commit since the last checkpoint, which lays them out as one
+more part; compaction makes one part of all. A pointer file names the parts, the commits and the registry's
+file, and is replaced by a rename, so readers see one state or the next. One writer at a time holds the
+lock file. Numbers of versions only grow.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duochron.operators import ingest
 from duochron.plans.files import Files
 from duochron.plans.registry import Registry
 from duochron.schema import ENTITY, FEATURE_EVENT
 
+_LAID_OUT = T.StructType([*FEATURE_EVENT.fields, T.StructField("v", T.LongType()), T.StructField("_t", T.StringType()), T.StructField("_f", T.StringType())])
+
 
 class ReadOnly(RuntimeError):
     pass
@@ -30,10 +34,10 @@ class Locked(RuntimeError):
 
 
 class Store:
-    """``with Store(spark, root) as s``: opens or creates the folder and holds its lock."""
+    """``with Store(spark, root) as s``: opens or creates the folder and holds its lock. A part has a file for about so many rows."""
 
-    def __init__(self, spark: SparkSession, root: str, backlog: int = 1000):
-        self.spark, self.files, self.backlog = spark, Files(spark), backlog
+    def __init__(self, spark: SparkSession, root: str, backlog: int = 1000, rows_per_file: int = 1_000_000):
+        self.spark, self.files, self.backlog, self.rows_per_file = spark, Files(spark), backlog, rows_per_file
         self.root = self.files.qualified(root)
         self.owner, self.read_only, self.open = uuid.uuid4().hex, False, False
 
@@ -42,12 +46,11 @@ class Store:
             raise Locked(self.root)
         self.open = True
         if not self.files.exists(f"{self.root}/current"):
-            self.state = {"version": 0, "commits": [], "lsn": 0, "sequence_no": 0, "checkpoint_lsn": 0, "next": 1}
+            self.state = {"version": 0, "parts": [], "commits": [], "lsn": 0, "sequence_no": 0, "checkpoint_lsn": 0, "next": 1, "registry": None}
             self.registry = Registry()
             self._save_registry()
-            self._point()
         self.state = json.loads(self.files.read(f"{self.root}/current"))
-        self.registry = Registry.from_json(self.files.read(f"{self.root}/registry.json"))
+        self.registry = Registry.from_json(self.files.read(f"{self.root}/{self.state['registry']}"))
         return self
 
     def __exit__(self, *_: object) -> None:
@@ -57,8 +60,16 @@ class Store:
     def _point(self) -> None:
         self.files.replace(f"{self.root}/current", json.dumps(self.state))
 
+    def _write_registry(self) -> str:
+        name = f"registry-{uuid.uuid4().hex}.json"
+        self.files.replace(f"{self.root}/{name}", self.registry.to_json())
+        return name
+
     def _save_registry(self) -> None:
-        self.files.replace(f"{self.root}/registry.json", self.registry.to_json())
+        old, self.state["registry"] = self.state["registry"], self._write_registry()
+        self._point()
+        if old:
+            self.files.delete(f"{self.root}/{old}")
 
     def _check(self, writes: bool = False) -> None:
         if not self.open:
@@ -74,23 +85,35 @@ class Store:
 
     # reads
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], FEATURE_EVENT)
-        return self.spark.read.schema(FEATURE_EVENT).option("basePath", self.root).parquet(*folders).select(*FEATURE_EVENT.names)
+    def _part(self, version: int) -> str:
+        return f"{self.root}/versions/v={version}"
 
-    def base(self) -> DataFrame:
-        return self._read([f"{self.root}/versions/v={self.state['version']}"] if self.state["version"] else [])
+    def base(self, tenant_id: str | None = None, feature_id: str | None = None) -> DataFrame:
+        """The laid-out facts; a tenant and a feature choose folders before anything is read."""
+        if not self.state["parts"]:
+            return self.spark.createDataFrame([], FEATURE_EVENT)
+        rows = self.spark.read.schema(_LAID_OUT).option("basePath", f"{self.root}/versions").parquet(*map(self._part, self.state["parts"]))
+        for folder, wanted in (("_t", tenant_id), ("_f", feature_id)):
+            if wanted is not None:
+                rows = rows.where(F.col(folder) == wanted)
+        return rows.select(*FEATURE_EVENT.names)
 
-    def staged(self) -> DataFrame:
+    def staged(self, tenant_id: str | None = None, feature_id: str | None = None) -> DataFrame:
         """What was committed since the last checkpoint (the ``memory`` source of a range read)."""
-        return self._read([f"{self.root}/staging/{c}" for c in self.state["commits"]])
+        if not self.state["commits"]:
+            return self.spark.createDataFrame([], FEATURE_EVENT)
+        rows = self.spark.read.schema(FEATURE_EVENT).parquet(*(f"{self.root}/staging/{c}" for c in self.state["commits"]))
+        for name, wanted in (("tenant_id", tenant_id), ("feature_id", feature_id)):
+            if wanted is not None:
+                rows = rows.where(F.col(name) == wanted)
+        return rows
 
-    def events(self, source: str = "disk") -> DataFrame:
+    def events(self, source: str = "disk", tenant_id: str | None = None, feature_id: str | None = None) -> DataFrame:
         self._check()
-        if source == "memory":
-            return self.staged()
-        return self.base().unionByName(self.staged()) if self.state["commits"] and self.state["version"] else self.staged() if self.state["commits"] else self.base()
+        chosen = (tenant_id, feature_id)
+        if source == "memory" or not self.state["parts"]:
+            return self.staged(*chosen)
+        return self.base(*chosen).unionByName(self.staged(*chosen)) if self.state["commits"] else self.base(*chosen)
 
     # writes
 
@@ -115,7 +138,7 @@ class Store:
             facts = ingest.stamped(accepted, commit_us or time.time_ns() // 1000, self.state["lsn"], self.state["sequence_no"], n, self._scratch)
             commit = f"c{self.state['next']:012d}"
             facts.write.mode("overwrite").parquet(f"{self.root}/staging/{commit}")
-            new = self._read([f"{self.root}/staging/{commit}"]).agg(F.max("lsn"), F.max("sequence_no")).first()
+            new = self.spark.read.schema(FEATURE_EVENT).parquet(f"{self.root}/staging/{commit}").agg(F.max("lsn"), F.max("sequence_no")).first()
             if new[0] is not None:
                 self.state |= {"lsn": new[0], "sequence_no": new[1], "commits": [*self.state["commits"], commit]}
             self.state["next"] += 1
@@ -130,37 +153,48 @@ class Store:
 
     # maintenance
 
-    def _rewrite(self, events: DataFrame) -> None:
-        version = self.state["next"]
-        path = f"{self.root}/versions/v={version}"
+    def _lay_out(self, events: DataFrame, version: int) -> bool:
+        """Write a part, whose ranges of entity and time split large features and hot entities alike; False if there is nothing to write."""
+        rows = events.count()
+        if not rows:
+            return False
         layout = events.withColumns({"_t": F.col("tenant_id"), "_f": F.col("feature_id")})
-        # a large feature is spread over all partitions by its entities
-        layout.repartition("_t", "_f", F.pmod(F.xxhash64("entity_id"), F.lit(8))).sortWithinPartitions("_t", "_f", *ENTITY, F.desc("event_time_us"), F.desc("system_time_us"), F.desc("sequence_no")).write.partitionBy("_t", "_f").parquet(path)
+        ranged = layout.repartitionByRange(-(-rows // self.rows_per_file), "_t", "_f", *ENTITY[1:], "event_time_us")
+        ranged.sortWithinPartitions("_t", "_f", *ENTITY[1:], F.desc("event_time_us"), F.desc("system_time_us"), F.desc("sequence_no")).write.partitionBy("_t", "_f").parquet(self._part(version))
+        return True
+
+    def _replace(self, parts: list[int], version: int) -> None:
         old = self.state
-        empty = self.spark.read.schema(FEATURE_EVENT).parquet(path).isEmpty()
-        self.state = old | {"version": 0 if empty else version, "commits": [], "next": version + 1, "checkpoint_lsn": old["lsn"]}
+        self.state = old | {"version": max(parts, default=0), "parts": parts, "commits": [], "next": version + 1, "checkpoint_lsn": old["lsn"]}
         self._point()
+        self._forget(old)
+
+    def _forget(self, old: dict) -> None:
         for c in old["commits"]:
             self.files.delete(f"{self.root}/staging/{c}")
-        if old["version"]:
-            self.files.delete(f"{self.root}/versions/v={old['version']}")
+        for p in set(old["parts"]) - set(self.state["parts"]):
+            self.files.delete(self._part(p))
 
     def checkpoint(self) -> dict:
-        """Move staged commits into the table; afterwards nothing is staged."""
+        """Lay out staged commits as one more part, without touching the others; afterwards nothing is staged."""
         self._check()
         if self.state["commits"]:
-            self._rewrite(self.events())
+            version = self.state["next"]
+            new = [version] if self._lay_out(self.staged(), version) else []
+            self._replace([*self.state["parts"], *new], version)
         return {"lsn": self.state["checkpoint_lsn"], "version": self.state["version"], "at_us": time.time_ns() // 1000}
 
     def compact(self, policy: str = "keep_all", amount: int = 0, now_us: int | None = None) -> None:
-        """Rewrite without doubled write ids, keeping every revision and tombstone unless a retention policy is named."""
+        """Rewrite all as one part without doubled write ids, keeping every revision and tombstone unless a retention policy is named."""
         self._check(True)
         kept = ingest.dedupe_events(self.events())
-        self._rewrite(ingest.retained(kept, policy, amount, now_us or time.time_ns() // 1000))
+        version = self.state["next"]
+        written = self._lay_out(ingest.retained(kept, policy, amount, now_us or time.time_ns() // 1000), version)
+        self._replace([version] if written else [], version)
 
     def health(self) -> dict:
         self._check()
-        segments = len(self.state["commits"]) + (self.state["version"] > 0)
+        segments = len(self.state["commits"]) + len(self.state["parts"])
         status = "READ_ONLY" if self.read_only else "COMPACTION_BACKLOG" if segments > self.backlog else "HEALTHY"
         return {"status": status, "lsn": self.state["lsn"], "version": self.state["version"], "segments": segments, "compactions_queued": max(0, segments - 1)}
 
@@ -180,36 +214,33 @@ class Store:
             self.checkpoint()
             beside = f"{target}.new"
             self.files.delete(beside)
-            if self.state["version"]:
-                self.files.copy(f"{self.root}/versions/v={self.state['version']}", f"{beside}/versions/v={self.state['version']}")
-            self.files.copy(f"{self.root}/registry.json", f"{beside}/registry.json")
-            self.files.copy(f"{self.root}/current", f"{beside}/current")
+            for p in self.state["parts"]:
+                self.files.copy(self._part(p), f"{beside}/versions/v={p}")
+            for name in (self.state["registry"], "current"):
+                self.files.copy(f"{self.root}/{name}", f"{beside}/{name}")
             self.files.move(beside, target)
         finally:
             self.read_only = was
 
     def restore(self, source: str, read_only: bool = False) -> None:
-        """Replace the state by a backup's. The copy is made under a new version number and checked before the pointer moves, so a failure keeps the old state."""
+        """Replace the state by a backup's. The copy is made under new version numbers and checked before the pointer moves, which names the registry's file too, so a failure keeps the old state whole."""
         self._check()
         source = self.files.qualified(source)
         there = json.loads(self.files.read(f"{source}/current"))
-        registry = Registry.from_json(self.files.read(f"{source}/registry.json"))
-        version = max(self.state["next"], there["next"])
-        old = self.state
-        if there["version"]:
-            path = f"{self.root}/versions/v={version}"
-            try:
-                self.files.copy(f"{source}/versions/v={there['version']}", path)
-                self.spark.read.schema(FEATURE_EVENT).parquet(path).agg(F.max("lsn")).collect()
-            except Exception:
-                self.files.delete(path)
-                raise
-        self.state = there | {"version": version if there["version"] else 0, "commits": [], "next": version + 1}
-        self.registry = registry
-        self._save_registry()
+        registry = Registry.from_json(self.files.read(f"{source}/{there['registry']}"))
+        first = max(self.state["next"], there["next"])
+        parts = list(range(first, first + len(there["parts"])))
+        try:
+            for old_part, new_part in zip(there["parts"], parts, strict=True):
+                self.files.copy(f"{source}/versions/v={old_part}", self._part(new_part))
+                self.spark.read.schema(FEATURE_EVENT).parquet(self._part(new_part)).agg(F.max("lsn")).collect()
+        except Exception:
+            for p in parts:
+                self.files.delete(self._part(p))
+            raise
+        old, self.registry = self.state, registry
+        self.state = there | {"version": max(parts, default=0), "parts": parts, "commits": [], "next": first + len(parts) + 1, "registry": self._write_registry()}
         self._point()
-        for c in old["commits"]:
-            self.files.delete(f"{self.root}/staging/{c}")
-        if old["version"]:
-            self.files.delete(f"{self.root}/versions/v={old['version']}")
+        self._forget(old)
+        self.files.delete(f"{self.root}/{old['registry']}")
         self.read_only = read_only

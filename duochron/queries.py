@@ -7,7 +7,6 @@ of customers. Sums of doubles are rounded, since their order isn't fixed.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from duochron.functions import literals, timeutil
 from duochron.operators import ingest, pit, reads, rolling
+from duochron.plans.files import shared_dir
 from duochron.schema import DELETE, UPSERT
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -58,7 +58,7 @@ def _winner_sql(where: str = "true") -> str:
     return f"{FACTS}, w as (select * from (select *, row_number() over (partition by entity_id, feature_id {NEWEST}) as rn from f where {where}) where rn = 1)"
 
 
-def every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+def driving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a driving row."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -66,12 +66,7 @@ def every_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("row_id"), F.lit("prod").alias("tenant_id"), F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), (us + HOUR // 2).alias("label_time_us"), (us + (F.col("event_id") % 5) * (DAY // 2)).alias("system_cutoff_us"))
 
 
-def driving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driving rows of the SQL in DRIVING: 1 event of 20."""
-    return every_event(spark, sf_dir).where(F.col("row_id") % 20 == 0)
-
-
-DRIVING = f", d as (select event_id as row_id, cast(user_id as varchar) as entity_id, epoch_us(ts) + {HOUR // 2} as label_time_us, epoch_us(ts) + (event_id % 5) * {DAY // 2} as system_cutoff_us from events where event_id % 20 = 0)"
+DRIVING = f", d as (select event_id as row_id, cast(user_id as varchar) as entity_id, epoch_us(ts) + {HOUR // 2} as label_time_us, epoch_us(ts) + (event_id % 5) * {DAY // 2} as system_cutoff_us from events)"
 
 
 def feature_names(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -167,49 +162,49 @@ def window_scan_visible(spark, sf):
 
 
 @query(_pit_sql(str(S0)))
-def pit_shared_cutoff(spark, sf, driving=driving):
+def pit_shared_cutoff(spark, sf):
     return pit.point_in_time(driving(spark, sf).drop("system_cutoff_us"), facts(spark, sf), feature_names(spark, sf), S0).select(*PIT_COLUMNS)
 
 
 @query(_pit_sql("d.system_cutoff_us"))
-def pit_row_cutoff(spark, sf, driving=driving):
+def pit_row_cutoff(spark, sf):
     return pit.point_in_time(driving(spark, sf), facts(spark, sf), feature_names(spark, sf)).select(*PIT_COLUMNS)
 
 
 @query(_pit_sql("d.label_time_us"))
-def pit_label_cutoff(spark, sf, driving=driving):
+def pit_label_cutoff(spark, sf):
     return pit.point_in_time(driving(spark, sf).withColumn("system_cutoff_us", F.col("label_time_us")), facts(spark, sf), feature_names(spark, sf), strategy="label").select(*PIT_COLUMNS)
 
 
 @query(_pit_sql(f"case when d.row_id % 3 = 0 then {S0} else {S0 + 5 * DAY} end"))
-def pit_few_cutoffs(spark, sf, driving=driving):
+def pit_few_cutoffs(spark, sf):
     rows = driving(spark, sf).withColumn("system_cutoff_us", F.when(F.col("row_id") % 3 == 0, S0).otherwise(S0 + 5 * DAY))
     return pit.point_in_time(rows, facts(spark, sf), feature_names(spark, sf), strategy="few").select(*PIT_COLUMNS)
 
 
 @query(_pit_sql("d.label_time_us", "select row_id, max(case when feature_id = 'click' then value end) as click_value, max(case when feature_id = 'purchase' then value end) as purchase_value from p group by row_id"))
-def pit_wide(spark, sf, driving=driving):
+def pit_wide(spark, sf):
     rows = driving(spark, sf).withColumn("system_cutoff_us", F.col("label_time_us"))
     long = pit.point_in_time(rows, facts(spark, sf), ["click", "purchase"], strategy="label")
     return pit.wide(long, ["click", "purchase"]).select("row_id", F.col("click").alias("click_value"), F.col("purchase").alias("purchase_value"))
 
 
 @query(_pit_sql("d.label_time_us", "select row_id, feature_id, found, case when feature_id = 'click' and not found then -1.0 else value end as value from p"))
-def pit_default_fill(spark, sf, driving=driving):
+def pit_default_fill(spark, sf):
     rows = driving(spark, sf).withColumn("system_cutoff_us", F.col("label_time_us"))
     long = pit.point_in_time(rows, facts(spark, sf), feature_names(spark, sf), strategy="label")
     return pit.with_defaults(long, {"click": -1.0}).select("row_id", "feature_id", "found", "value")
 
 
 @query(_pit_sql("d.label_time_us", "select row_id, feature_id, value from p where row_id in (select row_id from p where feature_id in ('click', 'view') group by row_id having count(*) filter (where found) = 2) and feature_id in ('click', 'view')"))
-def pit_require_all(spark, sf, driving=driving):
+def pit_require_all(spark, sf):
     rows = driving(spark, sf).withColumn("system_cutoff_us", F.col("label_time_us"))
     long = pit.point_in_time(rows, facts(spark, sf), ["click", "view"], strategy="label")
     return pit.complete_rows(long, ["click", "view"]).select("row_id", "feature_id", "value")
 
 
 @query(_pit_sql("d.label_time_us", "select row_id, feature_id, found, value from p where feature_id in ('click', 'view')"))
-def pit_group(spark, sf, driving=driving):
+def pit_group(spark, sf):
     members = spark.createDataFrame([("prod", "g_serving", "view"), ("prod", "g_serving", "click"), ("prod", "g_other", "purchase")], "tenant_id string, group_id string, feature_id string")
     rows = driving(spark, sf).withColumn("system_cutoff_us", F.col("label_time_us"))
     return pit.point_in_time(rows, facts(spark, sf), pit.group_features(members, "prod", "g_serving"), strategy="label").select("row_id", "feature_id", "found", "value")
@@ -251,7 +246,7 @@ def rolling_last_n(spark, sf):
 @query(f"""{FACTS}{DRIVING}, m as (select d.row_id, f.*, row_number() over (partition by d.row_id, f.feature_id, f.event_time_us order by f.system_time_us desc, f.sequence_no desc) as rn from d join f on f.entity_id = d.entity_id
   and f.event_time_us > d.label_time_us - {3 * DAY} and f.event_time_us <= d.label_time_us and f.system_time_us <= d.system_cutoff_us)
 select row_id, feature_id, count(value) as rolling_count, round(sum(value), 4) as rolling_sum from m where rn = 1 and operation <> 'DELETE' group by 1, 2""")
-def rolling_row_cutoff(spark, sf, driving=driving):
+def rolling_row_cutoff(spark, sf):
     return rolling.rolling_at(driving(spark, sf), facts(spark, sf), 3 * DAY, ["count", "sum"]).select("row_id", "feature_id", "rolling_count", F.round("rolling_sum", 4).alias("rolling_sum"))
 
 
@@ -287,9 +282,7 @@ def _written(df: DataFrame) -> DataFrame:
     """Written down in the cluster's shared folder; checkpoint() keeps the rows as they are."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duochron-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -340,21 +333,6 @@ def visible_commit(spark, sf):
     return reads.visible_commit(facts(spark, sf)).select("entity_id", "lsn", "system_time_us")
 
 
-@query(f"{FACTS} select entity_id, count(*) as n from f group by 1")
-def lsn_fence(spark, sf):
-    return reads.at_least(facts(spark, sf), 2).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"{FACTS} select feature_id, count(*) as n_rows, min(event_time_us) as min_event_time_us, max(event_time_us) as max_event_time_us, min(system_time_us) as min_system_time_us, max(system_time_us) as max_system_time_us, max(lsn) as max_lsn from f group by 1")
-def segment_stats(spark, sf):
-    return facts(spark, sf).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_time_us").alias("min_event_time_us"), F.max("event_time_us").alias("max_event_time_us"), F.min("system_time_us").alias("min_system_time_us"), F.max("system_time_us").alias("max_system_time_us"), F.max("lsn").alias("max_lsn"))
-
-
-@query(f"{FACTS} select case when count(*) filter (where operation = 'DELETE') > 0 then 'HAS_TOMBSTONES' else 'CLEAN' end as status, count(*) as n_rows, max(lsn) as lsn from f")
-def health(spark, sf):
-    return facts(spark, sf).agg(F.when(F.count_if(F.col("operation") == DELETE) > 0, "HAS_TOMBSTONES").otherwise("CLEAN").alias("status"), F.count(F.lit(1)).alias("n_rows"), F.max("lsn").alias("lsn"))
-
-
 @query("select distinct 'user' as entity_type, event_type as feature_name from events")
 def registry_list(spark, sf):
     from duochron.plans.registry import Feature, Registry
@@ -413,16 +391,12 @@ def vector_parse(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", F.size(vector).alias("width"), vector[0].alias("first"))
 
 
-#: The queries on driving rows; each is registered again as <name>_whole, with every event as a driving row.
-ON_DRIVING = ("pit_row_cutoff", "pit_shared_cutoff", "pit_label_cutoff", "pit_few_cutoffs", "pit_wide", "pit_default_fill", "pit_require_all", "pit_group", "rolling_row_cutoff")
-for _name in ON_DRIVING:
-    _f, _sql = _found[_name]
-    _found[f"{_name}_whole"] = (functools.partial(_f, driving=every_event), _sql.replace(" from events where event_id % 20 = 0)", " from events)"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from duochron import store_queries  # noqa: F401  registers its own
+
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in _found.items() if s}

@@ -72,11 +72,11 @@ def write_dataset(dataset: DataFrame, uri: str, format: str = "PARQUET") -> None
 
     shape = to_arrow_schema(dataset.schema)
     opener = {"ARROW_FILE": pa.ipc.new_file, "ARROW_STREAM": pa.ipc.new_stream}[format]
+
+    def encoded(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.cast(shape).serialize().to_pybytes()], pa.binary())], ["data"])
+
     with opener(uri, shape) as out:
-        rows: list = []
-        for row in dataset.toLocalIterator():  # one partition at a time on the driver
-            rows.append(row.asDict(recursive=True))
-            if len(rows) == 10_000:
-                out.write_table(pa.Table.from_pylist(rows, shape))
-                rows = []
-        out.write_table(pa.Table.from_pylist(rows, shape))
+        for row in dataset.mapInArrow(encoded, "data binary").toLocalIterator():  # one partition at a time, as Arrow bytes
+            out.write_batch(pa.ipc.read_record_batch(pa.py_buffer(row.data), shape))

@@ -83,6 +83,37 @@ def test_checkpoint_compaction_and_sources_change_no_answer(spark, tmp_path):
         assert s.state["lsn"] == 4 and s.registry.get("prod", "f_price") and s.events().count() == 1
 
 
+def test_folders_prune_and_history_is_not_shuffled(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s")) as s:
+        s.register(price(), Feature("prod", "f_size", "size", "instrument", "double"))
+        write(s, row("b1", "w1", 1.0, 100), row("b2", "w2", 2.0, 100, arrival=1, feature="f_size"))
+        s.checkpoint()
+        write(s, row("b3", "w3", 3.0, 200))
+        s.checkpoint()
+        assert len(s.state["parts"]) == 2 and s.events().count() == 3  # the second checkpoint left the first part alone
+        one = s.events("disk", "prod", "f_price")
+        assert sorted(r.write_id for r in one.collect()) == ["w1", "w3"]
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_t" in plan and "f_price" in plan
+        ids = s._scratch(spark.createDataFrame([("b9", "w1"), ("b9", "w9")], "batch_id string, write_id string"))
+        found = ingest.seen_ids(ids, s.events())
+        assert [r[0] for r in found.collect()] == ["w1"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2
+        s.compact()
+        assert len(s.state["parts"]) == 1 and s.events().count() == 3
+
+
+def test_layout_splits_a_hot_entity_by_time(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s"), rows_per_file=50) as s:
+        s.register(price())
+        rows = [row(f"b{i}", f"w{i}", 1.0, 100 + i, arrival=i) for i in range(400)]
+        assert s.write(spark.createDataFrame(rows, EVENT_INPUT)).where("status = 'ACCEPTED'").count() == 400
+        s.checkpoint()
+        sizes = [r.n for r in s.events().groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) >= 5 and sum(sizes) == 400 and max(sizes) <= 150
+
+
 def test_lock_read_only_and_closed(spark, tmp_path):
     root = str(tmp_path / "s")
     with Store(spark, root) as s:
