@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of 100 KB a batch stays near 50 MB.
-BATCH_ROWS = 512
+#: Rows of one Arrow batch, and its bytes, which bound it where texts are very long.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 #: The Unicode White_Space property, which the splitting patterns call \s.
 WHITE_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -68,6 +68,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterable[dict]], Itera
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(barrier_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     out = arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ or wider where that would need more than FAN children. Pairs of nodes are visite
 and a pair is pruned when that is below the worst kth score of the query node's group. The best of each
 shard are merged by query with a rank.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor
-do queries with such a vector; vectors of different lengths are never compared; equal query rows are one
+Defined results: rows without an id, and vectors that are null, empty, or hold null or non-finite components
+take no part, nor do such queries; vectors of different lengths are never compared; equal query rows are one
 query, and a query's own row is one row equal to it; ties go to the smaller vec_id.
 """
 
@@ -127,6 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     spark = vectors.sparkSession
     v = F.col("vector")
     finite = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    finite = finite & F.col("id").isNotNull()
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(finite)
     asked = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(finite).distinct()
     shards, groups = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // QUERIES))

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, sa
     every = named.groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, sample / max(1, every.count()))  # by hash, so nothing is sorted or gathered
     few = every.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = stage(texts(docs).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # about `sample` ids
+    chosen = stage(texts(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")), "labelled")  # about `sample` ids
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0
 
     def words():

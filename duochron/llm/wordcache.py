@@ -2,7 +2,8 @@
 
 A text is cut before white space that follows another character. The splitting patterns of the
 vocabularies here never join characters across such a cut, so the ids of the parts, put together, are
-those of the text; most parts repeat, and the library sees each one once per worker.
+those of the text; most parts repeat, and the library sees each one once per worker. A text that holds the
+name of an added token (such as <|endoftext|>), which the library gives its own id, goes to it whole.
 """
 
 from __future__ import annotations
@@ -71,7 +72,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # of words; see named()
+        self.path, self.whole = path, None
+        self.added = [(t.content[:2], t.content.lower()) for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -90,6 +93,17 @@ class WordCache:
     def ask(self, text: str) -> bytes:
         return array(self.code, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def named(self, text: str) -> bool:
+        """Whether an added token may be in the text; some vocabularies look for them in lower case."""
+        return any(start in text for start, _ in self.added) and any(name in text.lower() for _, name in self.added)
+
+    def ask_whole(self, text: str) -> bytes:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ask_word(self, lead: str, word: str) -> bytes:
         """A word of Latin letters is one match of the splitting patterns, which goes to the library's model as it is."""
         if word.isalpha() and (word.isascii() or max(word) < LATIN) and (self.spaces or word == word.lower()):
@@ -109,7 +123,7 @@ class WordCache:
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and passes over the memory of words cost more than the lookups
         try:
-            return [self._plain(t) if self.spaces and not _odd(t) else self._any(t) for t in texts]
+            return [self.ask_whole(t) if self.named(t) else self._plain(t) if self.spaces and not _odd(t) else self._any(t) for t in texts]
         finally:
             if collecting:
                 gc.enable()

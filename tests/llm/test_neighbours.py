@@ -199,3 +199,10 @@ def test_search_prunes_and_is_exact():
         s = c @ q[i]
         want = np.lexsort((ids, -s))[:10]
         assert who[i].tolist() == want.tolist() and best[i].tolist() == s[want].tolist()
+
+
+def test_top_k_without_an_id(spark):
+    rows = [(None, [1.0, 1.0]), (20, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [1.0, 1.0]), (None, None)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = [tuple(r) for r in covertree.top_k(v, v.where("vec_id % 20 = 0 or vec_id is null")).orderBy("rank").collect()]
+    assert got == [(20, 1, 2, 64 * 64 + 32 * 64), (20, 2, 1, 64 * 32 + 32 * 32)]

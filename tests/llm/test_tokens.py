@@ -6,11 +6,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from duochron.llm import bytebpe, packing, rans
 from duochron.llm.wordcache import WordCache
 
-TEXTS = ["", " ", "Hello world", "a  b\n\nc\td ", "it's DON'T 'll 12345 x1y2", "éÉ ñ ß Σίσυφος İstanbul é ́", "a\x1cb \x1f", " x　y z", "<|endoftext|> <|startoftext|>", "word, word. (word) \"q\" --", "日本語 текст 🙂🙂", "\n", "x " * 3000, "n" * 3000]
+TEXTS = ["", " ", "Hello world", "a  b\n\nc\td ", "it's DON'T 'll 12345 x1y2", "éÉ ñ ß Σίσυφος İstanbul é ́", "a\x1cb \x1f", " x　y z", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "x<|ENDOFTEXT|>y", "<|endoftext|>", "<|endoftext", "end <| of |> <|startoftext|><|endoftext|>.", "word, word. (word) \"q\" --", "日本語 текст 🙂🙂", "\n", "x " * 3000, "n" * 3000]
 
 
 @pytest.fixture(scope="module", params=[("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
@@ -19,7 +20,12 @@ def cache(request):
 
 
 def direct(cache, texts):
-    return [np.array(e.ids, cache.dtype).tobytes() for e in cache.library.encode_batch(texts, add_special_tokens=False)]
+    """By the library as it is loaded, not by the cache's own copy."""
+    library = _fresh.setdefault(cache.path, Tokenizer.from_file(cache.path))
+    return [np.array(e.ids, cache.dtype).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+_fresh: dict[str, Tokenizer] = {}
 
 
 def test_words_equal_whole_texts(cache):
@@ -27,6 +33,13 @@ def test_words_equal_whole_texts(cache):
         assert cache.encode(TEXTS) == direct(cache, TEXTS)
 
 
+@settings(max_examples=150, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endOfText|>", "<|", "|>", " ", "\n", "a", "Word", "é", "\u0338", "12", ".", "\u3000"]), max_size=12))
+def test_added_tokens(cache, parts):
+    text = "".join(parts)
+    assert cache.encode([text]) == direct(cache, [text])
+
+
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(st.one_of(st.sampled_from(" \n\t'.,aAéÉ1Σİ\x1ć "), st.characters(codec="utf-8")), max_size=40))
 def test_any_text(cache, text):
@@ -131,3 +144,28 @@ def test_plan_covers_every_piece(sizes):
         for x in config:
             have[x] += times
     assert (have == counts).all() and sum(t for _, t in plan) >= bound - 1e-6
+
+
+def test_packed_pieces_and_files_equal_the_library(spark):
+    """start, length and checksums of every piece, and of every document in the files, by a freshly loaded library."""
+    texts = [*TEXTS, None, "word <|endoftext|> word " * 400, "a b c " * 900]
+    rows = docs(spark, [(3 * i, t, "x", 1) for i, t in enumerate(texts)])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {3 * i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    got: dict = {}
+    for r in packing.pack(rows).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(whole)
+    for k, ids in whole.items():
+        pieces = sorted(got[k], key=lambda r: r.piece)
+        assert [r.piece for r in pieces] == list(range(len(pieces))) and pieces[0].start == 0 and sum(r.length for r in pieces) == len(ids)
+        assert all(r.start + r.length == s.start for r, s in zip(pieces, pieces[1:], strict=False)) and all(r.length == 1024 for r in pieces[1:]) and (len(pieces) == 1) == (len(ids) <= 1024)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start = 0
+    want = []
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((3 * i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in rans.round_trip(rows).orderBy("doc_id").collect()] == want
