@@ -2,8 +2,10 @@
 
 Strategies, all with one row per driving row and feature, found or not:
 
-* ``shared``: one system cutoff for all rows. Events and driving rows of a timeline are sorted together by
-  time and a running largest version answers every row: one shuffle, linear, no join.
+* ``shared``: one system cutoff for all rows. Events and driving rows of a slice of a timeline are sorted
+  together by time and a running largest version answers every row; a slice begins with the largest version of
+  the slices before it, from a partially aggregated table of slices. Linear, no join, and a hot timeline is
+  as many tasks' work as it has slices.
 * ``label``: the cutoff of every row is its label time. The same sweep, with an event at the later of its clocks.
 * ``few``: few different cutoffs. The same sweep with the cutoff as part of the key; an event goes to every cutoff by which it was known.
 * ``general``: any cutoffs. An equality join on the timeline with both comparisons, then a partially
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from duochron.schema import ENTITY, KEY, live, payload, version
 
-#: Up to so many different cutoffs, the sweep per cutoff is taken.
+#: Up to so many different cutoffs, the sweep with the cutoff in its key is taken.
 FEW = 16
+#: Microseconds of a slice of a timeline.
+SLICE = 86_400_000_000
 
 
 def _asked(driving: DataFrame, features: list[str], default_cutoff_us: int | None) -> DataFrame:
@@ -34,8 +38,16 @@ def _sweep(asked: DataFrame, events: DataFrame, at, cutoffs: list[int] | None =
     kind, shape = facts.schema["_v"].dataType, facts.schema["_p"].dataType
     facts = facts.withColumns({"row_id": F.lit(None).cast(asked.schema["row_id"].dataType), "label_time_us": F.lit(None).cast("bigint"), "_asks": F.lit(False)})
     rows = asked.withColumns({"_at": F.col("label_time_us"), "_v": F.lit(None).cast(kind), "_p": F.lit(None).cast(shape), "_asks": F.lit(True)})
-    so_far = Window.partitionBy(*KEY, *(["cutoff_us"] if cutoffs is not None else [])).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return facts.unionByName(rows).withColumn("_w", F.max_by("_p", "_v").over(so_far)).where("_asks").select("row_id", *KEY, "label_time_us", "cutoff_us", "_w")
+    key = [*KEY, *(["cutoff_us"] if cutoffs is not None else [])]
+    slice_ = F.floor(F.col("_at") / SLICE).alias("_slice")
+    ends = facts.select(*key, slice_, "_v", "_p").groupBy(*key, "_slice").agg(F.max("_v").alias("_v"), F.max_by("_p", "_v").alias("_p"))
+    begun = rows.select(*key, slice_).distinct().select(*key, "_slice", F.lit(None).cast(kind).alias("_v"), F.lit(None).cast(shape).alias("_p"))
+    before = Window.partitionBy(*key).orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    carried = ends.unionByName(begun).select(*key, "_slice", F.max("_v").over(before).alias("_v"), F.max_by("_p", "_v").over(before).alias("_p")).where("_v is not null").dropDuplicates([*key, "_slice"])
+    carried = carried.select(*key, *([] if "cutoff_us" in key else [F.lit(None).cast("bigint").alias("cutoff_us")]), (F.col("_slice") * SLICE).alias("_at"), "_v", "_p").withColumns({"row_id": F.lit(None).cast(asked.schema["row_id"].dataType), "label_time_us": F.lit(None).cast("bigint"), "_asks": F.lit(False)})
+    so_far = Window.partitionBy(*key, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    every = facts.unionByName(carried).unionByName(rows).withColumn("_slice", F.floor(F.col("_at") / SLICE))
+    return every.withColumn("_w", F.max_by("_p", "_v").over(so_far)).where("_asks").select("row_id", *KEY, "label_time_us", "cutoff_us", "_w")
 
 
 def _general(asked: DataFrame, events: DataFrame) -> DataFrame:

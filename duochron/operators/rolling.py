@@ -12,10 +12,20 @@ from duochron.schema import DELETE, ENTITY, KEY
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
+def _sliced(rows: DataFrame, width_us: int) -> DataFrame:
+    """Every row in its slice of a timeline and, as what lies before others, in the next: a window of the width never reaches further, so a hot timeline is many tasks' work."""
+    own = F.floor(F.col("event_time_us") / width_us)
+    return rows.withColumn("_own", own).withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
+
+
+def _span(width_us: int) -> Window:
+    return Window.partitionBy(*KEY, "_slice").orderBy("event_time_us").rangeBetween(-(width_us - 1), Window.currentRow)
+
+
 def rolling(events: DataFrame, width_us: int, system_time_us: int, aggregates: list[str], value: str = "value") -> DataFrame:
     """At every visible event time T, aggregates over T - width < event_time <= T. Nulls contribute to no aggregate; tombstoned events aren't there."""
-    span = Window.partitionBy(*KEY).orderBy("event_time_us").rangeBetween(-(width_us - 1), Window.currentRow)
-    return revisions(events, system_time_us).withColumns({f"rolling_{a}": AGGREGATES[a](value).over(span) for a in aggregates})
+    over = {f"rolling_{a}": AGGREGATES[a](value).over(_span(width_us)) for a in aggregates}
+    return _sliced(revisions(events, system_time_us), width_us).withColumns(over).where("_slice = _own").drop("_slice", "_own")
 
 
 def rolling_at(driving: DataFrame, events: DataFrame, width_us: int, aggregates: list[str], value: str = "value") -> DataFrame:
@@ -41,9 +51,9 @@ def rolling_last_n(events: DataFrame, n: int, system_time_us: int, value: str =
 
 def z_score(events: DataFrame, width_us: int, system_time_us: int, value: str = "value") -> DataFrame:
     """How many standard deviations an event is from its window's mean; null where the window has no spread."""
-    span = Window.partitionBy(*KEY).orderBy("event_time_us").rangeBetween(-(width_us - 1), Window.currentRow)
-    mean, spread = F.avg(value).over(span), F.stddev_pop(value).over(span)
-    return revisions(events, system_time_us).withColumn("z_score", F.when(spread > 0, (F.col(value) - mean) / spread))
+    mean, spread = F.avg(value).over(_span(width_us)), F.stddev_pop(value).over(_span(width_us))
+    scored = _sliced(revisions(events, system_time_us), width_us).withColumn("z_score", F.when(spread > 0, (F.col(value) - mean) / spread))
+    return scored.where("_slice = _own").drop("_slice", "_own")
 
 
 def ratio(latest: DataFrame, numerator: str, denominator: str) -> DataFrame:
