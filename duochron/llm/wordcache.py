@@ -11,6 +11,8 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
+import unicodedata
 from array import array
 
 import numpy as np
@@ -20,8 +22,11 @@ from duochron.llm.common import WHITE_SPACE
 #: Words kept per worker (about 150 MB), and the longest that is kept.
 KEEP, KEEP_CHARS = 500_000, 48
 
-#: A word that ends with one of these after a letter is its stem and that mark: no vocabulary here joins them.
-MARKS = frozenset(".,;:!?")
+#: A word that ends with a run of these after a letter is its stem and that run: no vocabulary here joins them.
+#: The apostrophe isn't here, as it joins with letters.
+TAIL = "".join(c for c in string.punctuation if c != "'")
+#: Runs kept per worker, and the longest that is kept.
+KEEP_TAILS, TAIL_CHARS = 10_000, 8
 
 #: Letters below this have no other normal form.
 LATIN = "\u0250"
@@ -43,27 +48,58 @@ def _odd(text: str) -> bool:
     return not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _ROWS) or any(c in text for c in _OTHERS)
 
 
+def _ends(letter: str) -> bool:
+    """Whether this letter still ends in a letter once normal form and lower case have been taken."""
+    return letter.isalpha() and (letter.isascii() or unicodedata.normalize("NFC", letter).lower()[-1].isalpha())
+
+
 _loaded: dict[tuple[str, bool], "WordCache"] = {}
 
 
 class _Seen(dict):
-    """Word -> the bytes of its ids after ``lead``; what is missing is looked up, and kept while there is room."""
+    """Word -> the bytes of its ids after ``lead``; what is missing is looked up, and kept while there is room.
+
+    A word that is made of another (its stem) is kept from the second time the stem is met, so that words
+    that occur once take one place.
+    """
 
     def __init__(self, cache: "WordCache", lead: str = ""):
         super().__init__()
         self.cache, self.lead = cache, lead
 
     def __missing__(self, word: str) -> bytes:
-        stem, mark = self.cache.parts(word)
-        if stem != word:
-            ids = self[stem] + self.cache.marks[mark] if mark else self[stem]
+        stem = word.rstrip(TAIL)
+        if stem and stem != word and _ends(stem[-1]):
+            tail = self.cache.tails[word[len(stem) :]]
         else:
+            stem, tail = word, b""
+        if not self.cache.spaces:
+            stem = stem.lower() if stem.isascii() else self.cache.small(stem)
+        if stem == word:
             ids = self.cache.ask_word(self.lead, word)
+        elif (ids := self.get(stem)) is None:
+            return self[stem] + tail
+        else:
+            ids += tail
         if len(self) < KEEP and len(word) <= KEEP_CHARS:
             self[word] = ids
         return ids
 
 
+class _Tails(dict):
+    """A run of marks -> the bytes of its ids."""
+
+    def __init__(self, cache: "WordCache"):
+        super().__init__()
+        self.cache = cache
+
+    def __missing__(self, tail: str) -> bytes:
+        ids = self.cache.ask(tail)
+        if len(self) < KEEP_TAILS and len(tail) <= TAIL_CHARS:
+            self[tail] = ids
+        return ids
+
+
 class WordCache:
     """spaces: whether white space itself has ids (byte-level vocabularies) or is dropped, with letters lower-cased."""
 
@@ -80,7 +116,7 @@ class WordCache:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.spaces = spaces
-        self.marks = {m: self.ask(m) for m in MARKS}
+        self.tails = _Tails(self)
         self.bare, self.spaced = _Seen(self), _Seen(self, " ")
         self.line = self.ask("\n") if spaces else b""
 
@@ -106,17 +142,21 @@ class WordCache:
 
     def ask_word(self, lead: str, word: str) -> bytes:
         """A word of Latin letters is one match of the splitting patterns, which goes to the library's model as it is."""
-        if word.isalpha() and (word.isascii() or max(word) < LATIN) and (self.spaces or word == word.lower()):
-            said = (lead + word).encode().decode("latin-1").translate(_SHOWN)
-            return array(self.code, [t.id for t in self.model.tokenize(said)]).tobytes()
-        return self.ask(lead + word)
-
-    def parts(self, word: str) -> tuple[str, str]:
-        """A stem and an end mark whose ids, put together, are the word's."""
-        mark = ""
-        if len(word) > 1 and word[-1] in MARKS and word[-2].isalpha():
-            word, mark = word[:-1], word[-1]
-        return (word if self.spaces or not word.isascii() else word.lower()), mark
+        if word.isascii():
+            latin = word.isalpha()
+        else:
+            latin = word.isalpha() and max(word) < LATIN and (self.spaces or word == word.lower())
+        if not latin:
+            return self.ask(lead + word)
+        said = lead + word
+        if lead or not word.isascii():
+            said = said.encode().decode("latin-1").translate(_SHOWN)
+        return array(self.code, [t.id for t in self.model.tokenize(said)]).tobytes()
+
+    def small(self, word: str) -> str:
+        """The word in lower case if that is what the library makes of it, letter by letter; else the word."""
+        low = word.lower()
+        return low if low.isalpha() and len(low) == len(word) and max(word) < LATIN else word
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``dtype``."""

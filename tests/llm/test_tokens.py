@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from duochron.llm import bytebpe, packing, rans
 from duochron.llm.wordcache import WordCache
 
-TEXTS = ["", " ", "Hello world", "a  b\n\nc\td ", "it's DON'T 'll 12345 x1y2", "éÉ ñ ß Σίσυφος İstanbul é ́", "a\x1cb \x1f", " x　y z", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "x<|ENDOFTEXT|>y", "<|endoftext|>", "<|endoftext", "end <| of |> <|startoftext|><|endoftext|>.", "word, word. (word) \"q\" --", "日本語 текст 🙂🙂", "\n", "x " * 3000, "n" * 3000]
+TEXTS = ["", " ", "Hello world", "a  b\n\nc\td ", "it's DON'T 'll 12345 x1y2", "éÉ ñ ß Σίσυφος İstanbul é ́", "a\x1cb \x1f", " x　y z", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "x<|ENDOFTEXT|>y", "<|endoftext|>", "<|endoftext", "end <| of |> <|startoftext|><|endoftext|>.", "word, word. (word) \"q\" --", "ci%%% Ci%%% ci%%% İ#, İ. क़. don's... 'tis_ x_y_ É!? é!? É!?", "日本語 текст 🙂🙂", "\n", "x " * 3000, "n" * 3000]
 
 
 @pytest.fixture(scope="module", params=[("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
