@@ -1,11 +1,15 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation in numpy.
 
-The model's vocabulary is the HEAD most frequent training tokens and one symbol for all others. With the
-last token u and the class g of the one before it (itself, if it is among the CLASSES most frequent), a
-token w has the energy (R[u] + S[g]) . Q[w] + b[w]. Every task trains on all training documents of its
-part of the input from the same start; the parameters are averaged, weighted by tokens. Normalisers of
-all contexts come from batched matrix products, so token probabilities sum to one; a token outside the
-head has the probability of the symbol times its smoothed share of all tokens outside the head.
+The model's symbols are the HEAD most frequent training tokens and KINDS kinds of all others, told by a
+token's last ENDING bytes. With the last symbol u and the class g of the one before it (itself, if it is
+among the CLASSES most frequent), a symbol w has the energy (R[u] + S[g]) . Q[w] + b[w]. Normalisers of all
+contexts come from batched matrix products, so the probabilities of symbols sum to one; a token outside the
+head has the probability of its kind times its smoothed share of the tokens of that kind.
+
+All training documents train it. They are dealt by a hash to shards of about SHARD tokens (at most SHARDS
+shards, which then grow), in the order of that hash, so what is learnt depends on the documents and not on
+how the input is split. The shards train in ROUNDS rounds; a round's shards begin with the average of the
+parameters, weighted by tokens, that the round before it left.
 
 Counts are exact and cover the whole corpus. The most frequent tokens (up to HOT of them, at most HOT_BYTES
 bytes long, so that table is bounded) travel to the tasks; the counts of all others are joined by token.
@@ -16,7 +20,9 @@ equal scores; only doc_id and text are read; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import copy
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from duochron.llm.common import arrow_map, fold_words, partitions, release, stage, texts, unstage
 
 HEAD, CLASSES, WIDTH = 4096, 32, 24
+KINDS, ENDING = 512, 3
+SHARD, SHARDS, ROUNDS = 1 << 20, 1 << 14, 4
 HOT, HOT_BYTES = 150_000, 48
 BATCH, NOISE, PER_TOKEN, RATE = 8192, 128, 16, 0.15
 #: Words that a task counts before it passes them on.
@@ -56,24 +64,39 @@ def counted(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), make, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _kind(token: bytes) -> int:
+    return zlib.crc32(token[-ENDING:]) % KINDS
+
+
+def _kind_of(token: str) -> Column:
+    """The same for a column."""
+    return (F.crc32(F.substring(token, -ENDING, ENDING)) % KINDS).cast("int")
+
+
 class _Index(dict):
     def __missing__(self, token: bytes) -> int:
         return -1
 
 
 class Model:
-    """hot: tokens by falling frequency, the end first; the first ``head`` of them are the model's own, symbol ``head`` is the rest."""
+    """hot: tokens by falling frequency, the end first; the first ``head`` of them are symbols of their own, before the kinds.
+
+    rest, rest_distinct: how many tokens, and how many distinct ones, of each kind occur, from which the head's own are taken.
+    """
 
-    def __init__(self, hot: list[bytes], counts: list[int], total: int, distinct: int):
+    def __init__(self, hot: list[bytes], counts: list[int], rest: np.ndarray, rest_distinct: np.ndarray):
         self.hot, self.counts = hot, np.array(counts, np.int64)
         self.head = min(HEAD, len(hot))
-        self.total, self.distinct = total, distinct
-        rest = total - int(self.counts[: self.head].sum())
-        self.rest, self.rest_distinct = rest, distinct - self.head
-        share = np.append(self.counts[: self.head], rest) + 1.0
+        self.total, self.distinct = int(rest.sum()), int(rest_distinct.sum())
+        kinds = np.fromiter(map(_kind, hot), np.int64, len(hot))
+        seen = self.counts[: self.head] > 0
+        self.rest = rest - np.bincount(kinds[: self.head], self.counts[: self.head], KINDS).astype(np.int64)
+        self.rest_distinct = rest_distinct - np.bincount(kinds[: self.head][seen], minlength=KINDS)
+        self.symbol = np.concatenate([np.arange(self.head), self.head + kinds[self.head :]])
+        share = np.concatenate([self.counts[: self.head], self.rest]) + 1.0
         self.share = share / share.sum()
         rng = np.random.default_rng(20_101)
-        k = self.head + 1
+        k = self.head + KINDS
         self.r, self.q = (rng.normal(0, 0.1, (k, WIDTH)).astype(np.float32) for _ in range(2))
         self.s = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
         self.b = np.log(self.share).astype(np.float32)
@@ -82,6 +105,18 @@ class Model:
     def index(self) -> _Index:
         return _Index(zip(self.hot, range(len(self.hot)), strict=True))
 
+    def bare(self) -> "Model":
+        """The same without the tokens, which training on symbols doesn't need."""
+        other = copy.copy(self)
+        other.hot, other.counts, other.symbol = [], self.counts[:0], self.symbol[:0]
+        return other
+
+    def symbols(self, places: np.ndarray, tokens: list[bytes], at: np.ndarray) -> np.ndarray:
+        """Symbols of places in the hot table; ``tokens`` are those without one, at the positions ``at``."""
+        out = self.symbol[places]
+        out[at] = self.head + np.fromiter(map(_kind, tokens), np.int64, len(tokens))
+        return out
+
     def parameters(self) -> list[np.ndarray]:
         return [self.r, self.q, self.s, self.b]
 
@@ -100,7 +135,7 @@ class Model:
 
     def normalise(self) -> "Model":
         """log of the sum of exp energies for every context, by matrix products."""
-        self.z = np.empty((self.head + 1, CLASSES), np.float32)
+        self.z = np.empty((len(self.r), CLASSES), np.float32)
         base = self.r @ self.q.T + self.b
         for g in range(CLASSES):
             turn = self.s[g] @ self.q.T
@@ -147,7 +182,7 @@ class Trainer:
 
     def step(self, u: np.ndarray, g: np.ndarray, w: np.ndarray) -> None:
         m = self.m
-        noise = np.minimum(np.searchsorted(self.draw, self.rng.random(NOISE)), m.head)
+        noise = np.minimum(np.searchsorted(self.draw, self.rng.random(NOISE)), len(m.share) - 1)
         h = m.r[u] + m.s[g]
         qw, qn = m.q[w], m.q[noise]
         true = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.log_share[w]
@@ -162,43 +197,63 @@ class Trainer:
         _add(m.b, self.past[3], np.concatenate([w, noise]), np.concatenate([dt, dn.sum(0)]) * scale, RATE / 4)
 
 
-def _ids(model: Model, index: _Index, column) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places in the hot table (-1: not there) of whole texts with their ends, the texts' lengths, and their words."""
+def _ids(model: Model, index: _Index, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of whole texts with their ends: symbols, places in the hot table (-1: not there), the texts' lengths; and of the tokens not there: positions, texts, tokens."""
     words = [fold_words(t.as_py()) for t in column]
     get = index.__getitem__
     places = np.fromiter((p for w in words for p in (*map(get, w), 0)), np.int64)
-    return places, np.array([len(w) + 1 for w in words], np.int64), words
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    at = np.flatnonzero(places < 0)
+    texts_at = np.searchsorted(starts, at, side="right") - 1
+    tokens = [words[d][i] for d, i in zip(texts_at.tolist(), (at - starts[texts_at]).tolist(), strict=True)]
+    return model.symbols(places, tokens, at), places, sizes, at, texts_at, tokens
 
 
-def _trained(docs: DataFrame, model: Model) -> Model:
-    """Train on every text of ``docs`` and average what the tasks have learnt."""
-    spark = docs.sparkSession
+def _symbols(docs: DataFrame, model: Model) -> DataFrame:
+    """``key, ids``: the hash that deals a document out, and its symbols."""
+
+    def make():
+        index = model.index()
+
+        def run(batches) -> Iterator[dict]:
+            for b in batches:
+                ids, _, sizes, *_ = _ids(model, index, b["text"])
+                ends = np.cumsum(sizes)
+                ids = ids.astype("<u2").tobytes()
+                yield {"key": b["key"], "ids": [ids[2 * a : 2 * z] for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]}
+
+        return run
+
+    return arrow_map(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text"), make, "key bigint, ids binary")
+
+
+def _round(rows: DataFrame, model: Model, shards: list[int]) -> None:
+    """Train on one shard a task (``part``: its place in ``shards``), each from the model as it is, and put the average into the model."""
     flat = np.concatenate([x.ravel() for x in model.parameters()])
     chunks = 16
     wide = -(-len(flat) // chunks)
+    start = model.bare()
 
     def make():
         task = TaskContext.get().partitionId()
-        index = model.index()
 
         def run(batches) -> Iterator[dict]:
-            trainer, weight, left = Trainer(model, task), 0, np.zeros(0, np.int64)
+            m, weight, left = copy.deepcopy(start), 0, np.zeros(0, np.int64)
+            trainer = Trainer(m, shards[task])
             for b in batches:
-                places, _, _ = _ids(model, index, b["text"])
-                ids = np.where((places < 0) | (places >= model.head), model.head, places)
-                left = np.concatenate([left, ids])
-                if len(left) >= BATCH:
-                    cut = len(left)
-                    last, older = model.contexts(left)
-                    for a in range(0, cut - BATCH + 1, BATCH):
-                        trainer.step(last[a : a + BATCH], older[a : a + BATCH], left[a : a + BATCH])
-                    weight += cut
-                    left = left[cut // BATCH * BATCH :]
+                left = np.concatenate([left, *(np.frombuffer(x.as_buffer(), "<u2") for x in b["ids"])]).astype(np.int64)
+                last, older = m.contexts(left)
+                whole = len(left) // BATCH * BATCH
+                for a in range(0, whole, BATCH):
+                    trainer.step(last[a : a + BATCH], older[a : a + BATCH], left[a : a + BATCH])
+                weight += whole
+                left = left[whole:]
             if len(left):
-                trainer.step(*model.contexts(left), left)
+                trainer.step(*m.contexts(left), left)
                 weight += len(left)
             if weight:
-                got = np.concatenate([x.ravel() for x in model.parameters()]) * np.float64(weight)
+                got = np.concatenate([x.ravel() for x in m.parameters()])
                 yield {"chunk": list(range(chunks)), "task": [task] * chunks, "weight": [float(weight)] * chunks, "data": [got[i * wide : (i + 1) * wide].tobytes() for i in range(chunks)]}
 
         return run
@@ -208,24 +263,34 @@ def _trained(docs: DataFrame, model: Model) -> Model:
             total: dict[int, list] = {}
             for b in batches:
                 for chunk, weight, data in zip(b["chunk"].to_pylist(), b["weight"].to_pylist(), b["data"], strict=True):
-                    x = np.frombuffer(data.as_buffer(), np.float64)
+                    x = np.frombuffer(data.as_buffer(), np.float32) * np.float64(weight)
                     if chunk in total:
                         total[chunk][0] += weight
                         total[chunk][1] += x
                     else:
-                        total[chunk] = [weight, x.copy()]
+                        total[chunk] = [weight, x]
             if total:
-                yield {"chunk": list(total), "task": [0] * len(total), "weight": [t[0] for t in total.values()], "data": [t[1].tobytes() for t in total.values()]}
+                yield {"chunk": list(total), "weight": [t[0] for t in total.values()], "data": [t[1].tobytes() for t in total.values()]}
 
         return run
 
-    schema = "chunk int, task int, weight double, data binary"
-    each = arrow_map(docs.select("text"), make, schema)
-    # sums of sums: no task adds up more than a share of the tasks' parameters
-    part = arrow_map(each.repartition(max(chunks, partitions(spark)), "chunk", F.col("task") % 64), add, schema, 16)
-    done = arrow_map(part.repartition(chunks, "chunk"), add, schema, 16).collect()  # the model's size, whatever the corpus
+    dealt = rows.repartitionById(len(shards), "part").sortWithinPartitions("key")
+    each = arrow_map(dealt.select("ids"), make, "chunk int, task int, weight double, data binary")
+    # in the order of the shards, so that sums of floats come out alike
+    done = arrow_map(each.repartition(chunks, "chunk").sortWithinPartitions("chunk", "task").select("chunk", "weight", "data"), add, "chunk int, weight double, data binary", 16).collect()  # the model's size, whatever the corpus
     if done:
         model.put(np.concatenate([np.frombuffer(r.data, np.float64) / r.weight for r in sorted(done)]).astype(np.float32))
+
+
+def _trained(docs: DataFrame, model: Model) -> Model:
+    rows = stage(_symbols(docs, model), "symbols")
+    shards = min(SHARDS, -(-model.total // SHARD))
+    for r in range(min(ROUNDS, shards)):
+        mine = list(range(r, shards, ROUNDS))
+        shard = F.pmod("key", F.lit(shards))
+        _round(rows.where(shard % ROUNDS == r).withColumn("part", F.floor(shard / ROUNDS).cast("int")), model, mine)
+    release(docs.sparkSession)
+    unstage(rows)
     return model
 
 
@@ -234,7 +299,9 @@ def fit(docs: DataFrame, train: Column) -> tuple[Model, DataFrame]:
     rows = texts(docs).where(train)
     counts = stage(counted(rows), "counts")
     release(docs.sparkSession)
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    totals = np.zeros((2, KINDS), np.int64)
+    for kind, n, distinct in counts.groupBy(_kind_of("token")).agg(F.sum("n"), F.count(F.lit(1))).collect():  # at most KINDS rows
+        totals[:, kind] = n, distinct
     ends = counts.where(F.length("token") == 0).select("n").first()
     short = counts.where((F.length("token") > 0) & (F.length("token") <= HOT_BYTES)).withColumn("step", F.floor(F.log2("n") * 16))
     # how many tokens are how frequent (about a thousand steps), and from which step on they fit
@@ -245,9 +312,7 @@ def fit(docs: DataFrame, train: Column) -> tuple[Model, DataFrame]:
             break
         least = step
     found = sorted(short.where(F.col("step") >= least).select("token", "n").collect(), key=lambda r: (-r[1], bytes(r[0])))  # bounded by HOT and HOT_BYTES
-    model = Model([END, *(bytes(r[0]) for r in found)], [ends[0] if ends else 0, *(r[1] for r in found)], total or 0, distinct or 0)
-    if ends is None:
-        model.rest_distinct = 0
+    model = Model([END, *(bytes(r[0]) for r in found)], [ends[0] if ends else 0, *(r[1] for r in found)], *totals)
     return _trained(rows, model).normalise(), counts
 
 
@@ -263,26 +328,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         log_count = np.log10(m.counts + 1.0)
         known_hot = m.counts > 0
         whole = math.log10(m.total + m.distinct + 1)
-        rest = math.log10(m.rest + m.rest_distinct + 1)
+        rest = np.log10(m.rest + m.rest_distinct + 1.0)
 
         def run(batches) -> Iterator[dict]:
             row = task << 36
             for b in batches:
-                places, sizes, words = _ids(m, index, b["text"])
-                ids = np.where((places < 0) | (places >= m.head), m.head, places)
+                ids, places, sizes, missing, texts_at, tokens = _ids(m, index, b["text"])
                 starts = np.cumsum(sizes) - sizes
                 counted_here = np.where(places >= 0, log_count[places], 0.0)
                 base = np.add.reduceat(counted_here, starts) - sizes * whole
-                lm = m.log10(ids) + np.where(ids == m.head, counted_here - rest, 0.0)
+                lm = m.log10(ids) + np.where(ids >= m.head, counted_here - rest[np.maximum(ids - m.head, 0)], 0.0)
                 known = np.add.reduceat(((places >= 0) & known_hot[places]).astype(np.int64), starts)
                 n = len(sizes)
                 keys = np.arange(row, row + n)
                 row += n
                 yield {"key": keys, "doc_id": b["doc_id"], "n_tokens": sizes, "known": known, "base": base, "lm": np.add.reduceat(lm, starts), "token": [None] * n}
-                missing = np.flatnonzero(places < 0)
                 if len(missing):
-                    doc = np.searchsorted(starts, missing, side="right") - 1
-                    tail = Counter((d, words[d][i]) for d, i in zip(doc.tolist(), (missing - starts[doc]).tolist(), strict=True))
+                    tail = Counter(zip(texts_at.tolist(), tokens, strict=True))
                     yield {"key": [keys[d] for d, _ in tail], "doc_id": [None] * len(tail), "n_tokens": list(tail.values()), "known": [0] * len(tail), "base": [0.0] * len(tail), "lm": [0.0] * len(tail), "token": [t for _, t in tail]}
 
         return run

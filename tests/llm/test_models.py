@@ -40,10 +40,31 @@ def test_scores_are_probabilities_and_base_is_exact(spark, monkeypatch):
     for u, g in ((0, 0), (5, 3), (model.head, lm.CLASSES - 1)):
         p = np.exp((model.r[u] + model.s[g]) @ model.q.T + model.b - model.z[u, g])
         assert abs(p.sum() - 1) < 1e-4
+    # the tokens of a kind, and one that isn't known, share the kind's probability
+    own = {w for w in model.hot[: model.head]}
+    for kind in range(lm.KINDS):
+        of = [n for w, n in ((w or b"", n) for w, n in c.items()) if w not in own and zlib.crc32(w[-lm.ENDING :]) % lm.KINDS == kind]
+        assert (model.rest[kind], model.rest_distinct[kind]) == (sum(of), len(of))
     empty = docs.limit(0)
     assert lm.score(empty, *lm.fit(empty, F.lit(True))).count() == 0
 
 
+def test_kinds_are_alike_in_columns(spark):
+    tokens = [b"", b"a", b"ab", b"abc", b"abcd", "naïveté".encode(), b"\xff\xfe\x00\x01"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "token binary").select("token", lm._kind_of("token").alias("kind")).collect()
+    assert [r.kind for r in rows] == [lm._kind(bytes(r.token)) for r in rows]
+
+
+def test_what_is_learnt_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 4_000)
+    monkeypatch.setattr(lm, "HEAD", 300)
+    monkeypatch.setattr(lm, "BATCH", 512)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = (lm.fit(d, ~held_out(7, 2))[0] for d in (docs.coalesce(1), docs.repartition(7)))
+    assert -(-one.total // lm.SHARD) > lm.ROUNDS
+    assert all(np.array_equal(a, b) for a, b in zip(one.parameters(), many.parameters(), strict=True))
+
+
 def test_language_model_beats_counts_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     p = lm.score(docs, *lm.fit(docs, ~held_out(7, 2))).withColumn("h", held_out(7, 2)).where("h").agg(F.sum("score"), F.sum("base_score")).first()
